@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, line_dedup
+from . import bpe, chosen_path, embedding_dedup, exact_dedup, line_dedup
 
 QUERIES = {
+    "op1_embedding_dedup": (embedding_dedup.op1_embedding_dedup, None),
     "op2_bpe": (bpe.op2_bpe, None),
     "op5_line_dedup": (line_dedup.op5_line_dedup, line_dedup.ORACLE),
+    "op9_chosen_path": (chosen_path.op9_chosen_path, None),
     "op10_exact_dedup": (exact_dedup.op10_exact_dedup, exact_dedup.ORACLE),
 }
