@@ -68,6 +68,9 @@ class StreamingDedup:
         self.arrived += 1
         own = self.spark.newSession()
         own.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+        # A state partition's files take what they hold, not what the store would set aside in advance.
+        own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
+        own.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
         own.conf.set("spark.sql.shuffle.partitions", self.spark.conf.get("spark.sql.shuffle.partitions"))
         own.conf.set("spark.sql.session.timeZone", "UTC")
         folder = self.folder
