@@ -1,8 +1,9 @@
 """Toxicity: a linear-chain conditional random field tags toxic spans; its marginals make document scores.
 
-Fitting takes a bounded sample of labelled documents, at most ``per_class`` toxic and as many clean ones
-of at most ``max_chars`` characters, drawn by a hash of doc_id.  Tokens are labelled from it: in toxic documents, a token is toxic if
-its word or one of its prefixes is tied to toxic documents by a likelihood-ratio test.  The field has two
+Fitting takes a bounded sample of labelled documents, at most ``per_class`` toxic and ``CLEAN`` times
+as many clean ones of at most ``max_chars`` characters, drawn by a hash of doc_id.  Tokens are labelled from it: in toxic documents, a token is toxic if
+its word or one of its prefixes is tied to toxic documents by a likelihood-ratio test, in each half of
+the sample too.  The field has two
 states, features for word and prefixes, a bias and transitions, fitted by gradient ascent on the exact
 likelihood (forward-backward over all chains at once).  A logistic curve in the field's own evidence,
 -log P(no toxic token), fitted to the sample's documents at the population's class rates, gives the score.
@@ -28,10 +29,10 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-PER_CLASS, MAX_CHARS = 1500, 20_000
+PER_CLASS, CLEAN, MAX_CHARS = 1500, 3, 20_000
 #: Likelihood ratio and odds that tie a feature to toxic documents.
-TIED, ODDS = 18.0, 8.0
-WINDOW, WINDOWS = 40, 3000
+TIED, ODDS = 18.0, 6.0
+WINDOW, WINDOWS = 40, 1500
 REMEMBERED = 500_000
 _EDGES = b".,;:!?\"'()[]{}<>|*_-#%$&"
 _TOKEN = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -146,23 +147,31 @@ class Field:
         return out
 
 
+def _ratio(a: int, b: int, n1: int, n0: int) -> float:
+    """Likelihood ratio of a feature in a of n1 toxic and b of n0 clean documents; 0 unless the odds are on the toxic side."""
+    if not a or not n1 or not n0 or (a + 0.5) / n1 < ODDS * (b + 0.5) / n0:
+        return 0.0
+    share = (a + b) / (n1 + n0)
+    return 2 * (a * math.log(a / (n1 * share)) + (b * math.log(b / (n0 * share)) if b else 0.0))
+
+
 def tied_features(toxic: list[list[bytes]], clean: list[list[bytes]]) -> set[str]:
-    """Features whose document counts tie them to toxic documents."""
-    counts = [Counter(f for doc in side for f in {f for t in set(doc) for f in features(t)}) for side in (toxic, clean)]
-    n1, n0 = len(toxic), len(clean)
+    """Features whose document counts tie them to toxic documents, overall and in each half of the sample."""
+
+    def counted(docs):
+        return Counter(f for doc in docs for f in {f for t in set(doc) for f in features(t)})
+
+    halves = [[counted(side[k::2]) for side in (toxic, clean)] for k in (0, 1)]
+    n = [(len(toxic[k::2]), len(clean[k::2])) for k in (0, 1)]
     out = set()
-    for f, a in counts[0].items():
-        b = counts[1].get(f, 0)
-        if a < 3 or (a + 0.5) / n1 < ODDS * (b + 0.5) / n0:
-            continue
-        share = (a + b) / (n1 + n0)
-        g = 2 * (a * math.log(a / (n1 * share)) + (b * math.log(b / (n0 * share)) if b else 0.0))
-        if g >= TIED:
+    for f in set(halves[0][0]) & set(halves[1][0]):
+        (a, b), (c, d) = ((t[f], o.get(f, 0)) for t, o in halves)
+        if min(_ratio(a, b, *n[0]), _ratio(c, d, *n[1])) >= TIED / 3 and _ratio(a + c, b + d, len(toxic), len(clean)) >= TIED:
             out.add(f)
     return out
 
 
-def _fit_chains(chains: list[list[bytes]], tags: list[list[int]], known: set[str], steps: int = 120, rate: float = 0.3, ridge: float = 1e-3):
+def _fit_chains(chains: list[list[bytes]], tags: list[list[int]], known: set[str], steps: int = 150, rate: float = 0.3, ridge: float = 1e-5):
     """Weights, bias, transitions and start by gradient ascent (Adam) on the mean log-likelihood of the chains."""
     names = sorted(known)
     number = {f: i for i, f in enumerate(names)}
@@ -180,13 +189,11 @@ def _fit_chains(chains: list[list[bytes]], tags: list[list[int]], known: set[str
                     col.append(number[f])
     row, col, k = np.array(row, np.int64), np.array(col, np.int64), len(names)
     x = np.zeros(k + 7)  # weights, bias, transitions, start
-    x[k] = -3.0
+    x[k] = -6.0
     m, v = np.zeros_like(x), np.zeros_like(x)
     for it in range(1, steps + 1):
         trans, start = x[k + 1 : k + 5].reshape(2, 2), x[k + 5 :]
-        e = np.full(size * longest, x[k])
-        np.add.at(e, row, x[col])
-        e = e.reshape(size, longest)
+        e = (x[k] + np.bincount(row, weights=x[col], minlength=size * longest)).reshape(size, longest)
         a = np.zeros((longest, size, 2))
         z = np.zeros((longest, size, 1))
         ex = np.exp(np.stack([np.zeros_like(e), np.clip(e, -30, 30)], axis=2))
@@ -213,7 +220,7 @@ def _fit_chains(chains: list[list[bytes]], tags: list[list[int]], known: set[str
                 b = b / b.max(axis=1, keepdims=True)
         wrong = np.where(mask, gold - node[:, :, 1], 0.0)
         g = np.zeros_like(x)
-        np.add.at(g, col, wrong.ravel()[row])
+        g[:k] = np.bincount(col, weights=wrong.ravel()[row], minlength=k)[:k]
         g[k] = wrong.sum()
         both = mask[:, 1:]
         seen = np.bincount((gold[:, :-1] * 2 + gold[:, 1:])[both], minlength=4).reshape(2, 2)
@@ -271,14 +278,14 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: in
     wanted = {}
     for label in (0, 1):
         # Twice the number, as some have long texts or no text at all.
-        for r in known.where((F.col("toxic") > 0).cast("int") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_class).collect():
+        for r in known.where((F.col("toxic") > 0).cast("int") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_class * (1 if label else CLEAN)).collect():
             wanted[r.doc_id] = label
     if not wanted:
         return fit([], [], rate)
-    ids = F.broadcast(spark.createDataFrame([(i, y) for i, y in wanted.items()], "doc_id long, label int"))  # at most 4 * per_class rows
+    ids = F.broadcast(spark.createDataFrame([(i, y) for i, y in wanted.items()], "doc_id long, label int"))  # at most 2 * (1 + CLEAN) * per_class rows
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id").where((F.length("text") > 0) & (F.length("text") <= max_chars)).select("doc_id", "label", "text")
     rows = sorted(sample.collect(), key=lambda r: (r.doc_id, r.text))
-    side = [[r.text.encode() for r in rows if r.label == y][:per_class] for y in (0, 1)]
+    side = [[r.text.encode() for r in rows if r.label == y][: per_class * (1 if y else CLEAN)] for y in (0, 1)]
     return fit(side[1], side[0], rate)
 
 
