@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chosen_path, embedding_dedup, exact_dedup, line_dedup, mixing, ngram_lm, toxicity
+from . import bpe, chosen_path, embedding_dedup, exact_dedup, html_extract, line_dedup, mixing, ngram_lm, toxicity
 
 QUERIES = {
     "op1_embedding_dedup": (embedding_dedup.op1_embedding_dedup, None),
     "op2_bpe": (bpe.op2_bpe, None),
     "op3_mixing": (mixing.op3_mixing, None),
+    "op4_html_extract": (html_extract.op4_html_extract, None),
     "op5_line_dedup": (line_dedup.op5_line_dedup, line_dedup.ORACLE),
     "op6_ngram_lm": (ngram_lm.op6_ngram_lm, None),
     "op8_toxicity": (toxicity.op8_toxicity, None),
