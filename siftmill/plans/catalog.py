@@ -1,3 +1,5 @@
 """All registered queries of the engine: name -> (query, DuckDB SQL or None)."""
 
-QUERIES: dict = {}
+from . import metric_plans, text_plans
+
+QUERIES: dict = {**text_plans.QUERIES, **metric_plans.QUERIES}
