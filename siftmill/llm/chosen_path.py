@@ -169,25 +169,52 @@ def _led(batches, threshold: float):
         yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(ids[a]), pa.array(ids[b])], names=["node", "a", "b"])
 
 
-def _crossed(batches, threshold: float):
-    """Round two: (a, b) for all like pairs of different components, in a node or between two blocks of one."""
+def _crossed(batches, threshold: float, pct: int):
+    """Round two: confirmed (a, b) between different components, in a node or between two blocks of one.
+
+    Likeliest pairs come first, and a pair whose components have been joined meanwhile needs no look, so a
+    task gives back at most one link for each component that it joins, whatever the number of pairs.
+    """
+    joined: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while (d := joined.get(c, c)) != c:
+            c = d
+        return c
+
     for t in _runs(batches, 3):
         node, i, j, side, ids, comp = (t.column(k).to_numpy() for k in range(6))
         like = _Like(t.column(6).to_numpy(), _matrix(t.column(7), np.uint8, COORDINATES), threshold)
+        found = shared.utf8_rows(t.column(8))
         cuts = np.flatnonzero((node[1:] != node[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-        out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        a, b = [], []
         for s, e in zip(np.concatenate([[0], cuts]).tolist(), np.concatenate([cuts, [len(node)]]).tolist()):
-            rows = np.arange(s, e)
-            same = i[s] == j[s]
+            now = np.array([root(c) for c in comp[s:e].tolist()])
+            if (now == now[0]).all():
+                continue
+            rows, same = np.arange(s, e), i[s] == j[s]
             left = rows if same else rows[side[s:e] == 0]
             right = rows if same else rows[side[s:e] == 1]
-            for r in left:
-                others = right[(comp[right] != comp[r]) & ((ids[right] > ids[r]) if same else True)]
-                if len(others) and len(hit := others[like(r, others)]):
-                    out_a.append(np.full(len(hit), ids[r]))
-                    out_b.append(ids[hit])
-        a, b = np.concatenate(out_a), np.concatenate(out_b)
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            for r in left.tolist():
+                others = right[(now[right - s] != now[r - s]) & ((right > r) if same else True)]
+                if not len(others):
+                    continue
+                others = others[like(r, others)]
+                mine = np.frombuffer(found[r], np.uint64) if len(others) else None
+                for o in others[np.argsort(-(like.shorts[others] == like.shorts[r]).sum(axis=1), kind="stable")].tolist():
+                    if now[o - s] == now[r - s]:
+                        continue
+                    other = np.frombuffer(found[o], np.uint64)
+                    if _similar(mine, other, pct):
+                        a.append(int(ids[r])), b.append(int(ids[o]))
+                        joined[int(now[o - s])] = int(now[r - s])
+                        now[now == now[o - s]] = now[r - s]
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _similar(x: np.ndarray, y: np.ndarray, pct: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= pct * (len(x) + len(y) - both)
 
 
 class ChosenPathJoin:
@@ -264,34 +291,35 @@ class ChosenPathJoin:
         full = self._with_short(rows.withColumn("slot", slot)).select("node", "slot", "id", "size", "n", "short")
         return full.repartition("node", "slot").sortWithinPartitions("node", "slot", "id").mapInArrow(lambda b: _led(b, threshold), "node long, a long, b long")
 
-    def confirmed(self, pairs: DataFrame, name: str) -> DataFrame:
-        """Pairs whose full sets are similar; only texts in question are read again."""
-        width, pct = self.width, self.pct
-        pairs = shared.saved(pairs, f"{self.base}/{name}-pairs")
-        ids = shared.saved(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), f"{self.base}/{name}-ids")
+    def sets(self, ids: DataFrame, path: str) -> DataFrame:
+        """(id, found): full sets of some rows; only their texts are read again."""
+        width = self.width
 
-        def sets(batches):
+        def run(batches):
             for batch in batches:
                 out = [shingles(bytes(x), width).tobytes() for x in shared.utf8_rows(batch.column(1))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxh3_128_digest(x) for x in out], pa.binary()), pa.array(out, pa.binary())], names=["id", "key", "found"])
 
+        ids = shared.saved(ids.select(F.col("id").alias("doc_id")).distinct(), f"{path}-ids")
+        full = self.docs.join(shared.small_side(ids, f"{path}-ids"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "id long, key binary, found binary")
+        # Of rows that share a doc_id, the class that it stands for has the right set.
+        full = full.join(self.classes.withColumnRenamed("id", "rep"), "key", "left_semi")
+        return shared.saved(full.dropDuplicates(["id", "key"]).select("id", "found"), f"{path}-sets")
+
+    def confirmed(self, pairs: DataFrame, name: str) -> DataFrame:
+        """Pairs whose full sets are similar."""
+        pct, path = self.pct, f"{self.base}/{name}"
+
         def compare(batches):
             for batch in batches:
-                keep = []
-                for x, y in zip(shared.utf8_rows(batch.column(2)), shared.utf8_rows(batch.column(3))):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * both >= pct * (len(x) + len(y) - both))
+                keep = [_similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), pct) for x, y in zip(shared.utf8_rows(batch.column(2)), shared.utf8_rows(batch.column(3)))]
                 yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-        full = self.docs.join(shared.small_side(ids, f"{self.base}/{name}-ids"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "id long, key binary, found binary")
-        # Of rows that share a doc_id, the class that it stands for has the right set.
-        full = full.join(self.classes.withColumnRenamed("id", "rep"), "key", "left_semi")
-        full = shared.saved(full.dropDuplicates(["id", "key"]).select("id", "found"), f"{self.base}/{name}-sets")
+        pairs = shared.saved(pairs, f"{path}-pairs")
+        full = self.sets(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))), path)
         left, right = (full.select(F.col("id").alias(c), F.col("found").alias(f"{c}_found")).hint("merge") for c in "ab")
-        links = pairs.join(left, "a").join(right, "b").select("a", "b", "a_found", "b_found").mapInArrow(compare, "a long, b long")
-        links = shared.saved(links, f"{self.base}/{name}-links")
-        shared.delete(self.spark, f"{self.base}/{name}-sets")
+        links = shared.saved(pairs.join(left, "a").join(right, "b").select("a", "b", "a_found", "b_found").mapInArrow(compare, "a long, b long"), f"{path}-links")
+        shared.delete(self.spark, f"{path}-sets")
         return links
 
     def links(self) -> tuple[DataFrame, DataFrame]:
@@ -305,28 +333,32 @@ class ChosenPathJoin:
         tried = led.select("a", "b").distinct()
         links = self.confirmed(tried, "led")
         groups = connected_components(self.spark, links)
-        more = self.confirmed(self.crossing(led, groups).join(self.spark.read.schema("a long, b long").parquet(f"{self.base}/led-pairs"), ["a", "b"], "left_anti"), "crossing")
+        more = self.crossing(led, groups)
         if not more.limit(1).count():
             return links, groups
         links = links.unionByName(more)
         return links, connected_components(self.spark, links)
 
     def crossing(self, led: DataFrame, groups: DataFrame) -> DataFrame:
-        """Like pairs of different components in nodes where a row was set aside for its leader."""
-        threshold = self.threshold
+        """Confirmed links between different components in nodes where a row was set aside for its leader."""
+        threshold, pct, path = self.threshold, self.pct, f"{self.base}/crossing"
         touched = led.select(F.col("node").alias("at")).distinct()
         members = self.nodes.distinct().join(touched.hint("merge"), F.col("node") == F.col("at"), "left_semi")
         labelled = members.join(groups.select(F.col("id").alias("of"), "component_id").hint("merge"), F.col("id") == F.col("of"), "left").select("node", "size", "id", F.coalesce("component_id", "id").alias("comp"))
-        labelled = shared.saved(labelled, f"{self.base}/labelled")
-        mixed_nodes = labelled.groupBy("node").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select(F.col("node").alias("at"))
-        rows = labelled.join(mixed_nodes.hint("merge"), F.col("node") == F.col("at"), "left_semi")
-        blocks = F.ceil(F.col("size") / BLOCK).cast("long")
-        slot = F.pmod(F.xxhash64("id"), blocks)
-        rows = rows.withColumn("slot", F.when(F.col("size") > SMALL, slot).otherwise(F.lit(0).cast("long"))).withColumn("blocks", F.when(F.col("size") > SMALL, blocks).otherwise(F.lit(1).cast("long")))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        rows = rows.select("node", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"), (F.col("slot") > F.col("other")).cast("long").alias("side"), "id", "comp")
-        full = self._with_short(rows).select("node", "i", "j", "side", "id", "comp", "n", "short")
-        return full.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j").mapInArrow(lambda b: _crossed(b, threshold), "a long, b long").distinct()
+        labelled = shared.saved(labelled, f"{path}-labelled")
+        # Trees meet the same rows again and again: of nodes with equal members one is looked at.
+        nodes = labelled.groupBy("node").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.bit_xor(F.xxhash64("id")).alias("sig"), F.sum("id").alias("total"), F.count("*").alias("members")).where("x <> y")
+        nodes = nodes.groupBy("sig", "total", "members").agg(F.min("node").alias("at")).select("at")
+        rows = shared.saved(labelled.join(nodes.hint("merge"), F.col("node") == F.col("at"), "left_semi"), f"{path}-rows")
+        full = self.sets(rows.select("id"), path)
+        blocks = F.when(F.col("size") > SMALL, F.ceil(F.col("size") / BLOCK)).otherwise(1).cast("long")
+        cut = rows.withColumn("slot", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        cut = cut.select("node", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"), (F.col("slot") > F.col("other")).cast("long").alias("side"), "id", "comp")
+        whole = self._with_short(cut).join(full.hint("merge"), "id").select("node", "i", "j", "side", "id", "comp", "n", "short", "found")
+        links = whole.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j", "id").mapInArrow(lambda b: _crossed(b, threshold, pct), "a long, b long")
+        links = shared.saved(links.distinct(), f"{path}-links")
+        shared.delete(self.spark, f"{path}-sets")
+        return links
 
     def result(self) -> DataFrame:
         """doc_id, n_shingles, component_id, kept: one row per row of the table."""
