@@ -65,6 +65,8 @@ def set_equal(a: DataFrame, b: DataFrame) -> bool:
 
 def category(error: Exception) -> str:
     condition = (error.getCondition() or "") if isinstance(error, PySparkException) else ""
+    if "ParseException" in f"{type(error).__name__} {error}"[:400]:
+        return "syntax_error"
     return CONDITIONS.get(condition.split(".")[0], "other_error")
 
 
@@ -76,6 +78,10 @@ class Evaluator:
 
     def run(self, sql: str) -> tuple[DataFrame | None, Exception | None]:
         if not re.match(r"(?is)^\s*(select|with)\b", sql):
+            try:  # parsed, never run: for its error
+                self.spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+            except Exception as e:
+                return None, e
             return None, ValueError("only SELECT and WITH are run")
         tag = f"siftmill-{id(sql)}-{threading.get_ident()}"
         timer = threading.Timer(self.timeout, self.spark.sparkContext.cancelJobsWithTag, [tag])

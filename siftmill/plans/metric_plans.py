@@ -98,7 +98,7 @@ def source_mix(spark, sf_dir):
 
 def family_summary(spark, sf_dir):
     e = evals(spark, sf_dir).withColumn("split", F.when(F.col("question_id") % 10 == 0, "dev").otherwise("train"))
-    return e.groupBy("difficulty").pivot("split", ["train", "dev"]).agg(F.count("*")).na.fill(0)
+    return e.groupBy("difficulty").pivot("split", ["train", "dev"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def status_counts(spark, sf_dir):
