@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def first_of(rows: DataFrame, key: Column, *order: Column | str) -> DataFrame:
@@ -24,7 +25,7 @@ def reject_reasons(batch: DataFrame, history: DataFrame, key: str, order: str) -
     return out.withColumn("reject_reason", F.when(F.col("seen").isNotNull(), "history").when(F.col("rk") > 1, "batch")).drop("rk", "seen")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity; there is no column form of it."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)], dtype="float64")

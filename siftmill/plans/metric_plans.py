@@ -57,10 +57,10 @@ def dataset_composition(spark, sf_dir):
 
 def _runs(spark, sf_dir):
     e = evals(spark, sf_dir)
-    return e.where("question_id % 3 <> 0"), e.where("question_id % 3 <> 1").withColumn("correct", F.col("correct") & (F.col("question_id") % 5 != 0))
+    return e.where("difficulty <> 'moderate'"), e.where("difficulty <> 'simple' or exec_failed").withColumn("correct", F.col("correct") & (F.col("question_id") % 5 != 0))
 
 
-_RUNS = f"{EVALS}, a AS (SELECT * FROM evals WHERE question_id % 3 <> 0), b AS (SELECT question_id, db_id, correct AND question_id % 5 <> 0 AS correct FROM evals WHERE question_id % 3 <> 1), p AS (SELECT coalesce(a.question_id, b.question_id) AS question_id, coalesce(a.db_id, b.db_id) AS db_id, a.correct AS a_correct, b.correct AS b_correct FROM a FULL JOIN b ON a.question_id = b.question_id AND a.db_id = b.db_id)"
+_RUNS = f"{EVALS}, a AS (SELECT * FROM evals WHERE difficulty <> 'moderate'), b AS (SELECT question_id, db_id, correct AND question_id % 5 <> 0 AS correct FROM evals WHERE difficulty <> 'simple' OR exec_failed), p AS (SELECT coalesce(a.question_id, b.question_id) AS question_id, coalesce(a.db_id, b.db_id) AS db_id, a.correct AS a_correct, b.correct AS b_correct FROM a FULL JOIN b ON a.question_id = b.question_id AND a.db_id = b.db_id)"
 
 
 def run_compare(spark, sf_dir):
