@@ -20,8 +20,8 @@ def _by_doc_id(spark: SparkSession, docs: DataFrame, kept: DataFrame, name: str)
     The dropped ids are written first: while they are few, they are broadcast and no text is shuffled.
     """
     path = shared.work_dir(spark, f"{name}-dropped")
-    dropped = shared.saved(kept.where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct(), path)
-    return docs.join(shared.small_side(dropped, path), F.col("doc_id") == F.col("gone"), "left_anti")
+    dropped = shared.saved(kept.where(~F.col("kept")).select(F.col("doc_id").alias("dropped_doc_id")).distinct(), path)
+    return docs.join(shared.small_side(dropped, path), docs["doc_id"] == dropped["dropped_doc_id"], "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +46,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix takes them."""
-    return mixing.copies(mixing.mix(spark, mixing.sized(docs))).select(*docs.columns)
+    """The documents as often as the mix takes them; their columns go along as one, so no name can clash."""
+    rows = mixing.sized(docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("document"))).drop("text")
+    return mixing.copies(mixing.mix(spark, rows)).select("document.*")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
