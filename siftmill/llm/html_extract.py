@@ -48,11 +48,12 @@ _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 
 
 class Node:
-    __slots__ = ("tag", "names", "kids", "parent", "words")
+    __slots__ = ("tag", "names", "kids", "parent", "inside")
 
     def __init__(self, tag: str, names: str, parent: Node | None):
         self.tag, self.names, self.parent, self.kids = tag, names, parent, []
-        self.words: str | None = None
+        #: Inside an article, where a header holds its title.
+        self.inside: bool = tag == "article" or parent is not None and parent.inside
 
     @property
     def label(self) -> str:
@@ -114,7 +115,12 @@ def parse(source: str) -> Node:
     return root
 
 
+_TITLES = re.compile(r"(?:^|[\s_-])(?:article|entry|post|story|content)[_-]+(?:header|head|title|heading)(?:$|[\s_-])")
+
+
 def is_furniture(node: Node) -> bool:
+    if node.tag == "header" and node.inside or node.names and _TITLES.search(node.names):
+        return False
     return node.tag in FURNITURE or bool(node.names) and node.tag not in ("html", "body", "main", "article") and ("hidden-element" in node.names or bool(_FURNITURE_WORDS.search(node.names)))
 
 

@@ -139,7 +139,7 @@ def test_mixing(spark, docs):
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var x = "<p>no</p>";</script></head><body><header>Site</header><nav><a href=x>Home</a></nav>
-<div>{notice}</div><article><h1>{title}</h1><p>First <b>bold</b>text &amp; more&nbsp;here<p>Second<br>line<ul><li>one<li>two</ul><aside>see also</aside><form>Mail <input></form>
+<div>{notice}</div><article><header><h1>{title}</h1></header><p>First <b>bold</b>text &amp; more&nbsp;here<p>Second<br>line<ul><li>one<li>two</ul><aside>see also</aside><form>Mail <input></form>
 <p>Share this story with your friends</p></article><section class="comments"><p>Great post</p></section><div id="cookie-banner">We use cookies</div><footer>(c)</footer>"""
 
 
