@@ -138,17 +138,19 @@ def error_kind(c) -> Column:
 
 
 #: The failure class of an error category.
-CATEGORY_TO_TYPE = {"column_error": "exact_identifier_error", "table_error": "exact_identifier_error", "syntax_error": "syntax_local_error", "aggregate_error": "aggregate_logic_error", "ambiguous_column": "alias_error"}
+CATEGORY_TO_TYPE = {"column_error": "exact_identifier_error", "table_error": "exact_identifier_error", "syntax_error": "syntax_local_error", "value_error": "wrong_literal_mapping"}
 
 
-def failure_type(exec_failed: Column, wrong_result: Column, category: Column, sql: Column) -> Column:
-    """The failure class from what is known about a prediction."""
+def failure_type(exec_failed: Column, wrong_result: Column, category: Column, sql: Column, message: Column) -> Column:
+    """The failure class from what is known about a prediction: category, then message, then the text's shape."""
     known = F.create_map(*[F.lit(x) for kv in CATEGORY_TO_TYPE.items() for x in kv])
     by_category = F.when(exec_failed, F.try_element_at(known, category))
+    low = F.lower(text(message))
+    by_message = F.when(exec_failed & (low.contains("no such column") | low.contains("no such table")), "exact_identifier_error").when(exec_failed & low.contains("syntax error"), "syntax_local_error").when(exec_failed & low.contains("ambiguous"), "alias_error")
     bare = F.trim(sql)
     degenerate = (F.length(bare) > 0) & ((F.length(bare) < 10) | ~F.upper(bare).startswith("SELECT"))
     rest = F.when(degenerate, "degenerate_or_truncated_sql").when(wrong_result, "wrong_return_field").when(exec_failed, "syntax_local_error").otherwise("wrong_return_field")
-    return F.coalesce(by_category, rest)
+    return F.coalesce(by_category, by_message, rest)
 
 
 #: Weights of example sources, and the factors of hard classes and of database families.

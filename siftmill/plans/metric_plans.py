@@ -113,14 +113,14 @@ def distinct_groups(spark, sf_dir):
 def failure_types(spark, sf_dir):
     """C9 and C10-style summary: failure class of each failing prediction with attempts and acceptance."""
     e = evals(spark, sf_dir).where("exec_failed or wrong_result").join(sqls(spark, sf_dir).withColumnRenamed("doc_id", "question_id"), "question_id")
-    kind = sqlfeat.failure_type(F.col("exec_failed"), F.col("wrong_result"), sqlfeat.error_category("pred_error"), F.col("sql"))
+    kind = sqlfeat.failure_type(F.col("exec_failed"), F.col("wrong_result"), sqlfeat.error_category("pred_error"), F.col("sql"), F.col("pred_error"))
     return e.groupBy(kind.alias("failure_type")).agg(F.count("*").alias("attempted"), F.count_if(F.col("question_id") % 4 == 0).alias("accepted"))
 
 
 _CATEGORY = "CASE WHEN coalesce(pred_error, '') = '' THEN 'unknown' WHEN contains(lower(pred_error), 'no such column') THEN 'column_error' WHEN contains(lower(pred_error), 'no such table') THEN 'table_error' WHEN contains(lower(pred_error), 'syntax error') THEN 'syntax_error' WHEN contains(lower(pred_error), 'aggregate') THEN 'aggregate_error' WHEN contains(lower(pred_error), 'ambiguous column') THEN 'ambiguous_column' WHEN contains(lower(pred_error), 'near') THEN 'syntax_error' ELSE 'other_error' END"
 _KIND = "CASE WHEN contains(lower(pred_error), 'no such column') THEN 'column_not_found' WHEN contains(lower(pred_error), 'no such table') THEN 'table_not_found' WHEN contains(lower(pred_error), 'syntax error') THEN 'syntax_error' WHEN contains(lower(pred_error), 'ambiguous column') THEN 'ambiguous_column' WHEN contains(lower(pred_error), 'unrecognized token') THEN 'unrecognized_token' WHEN contains(lower(pred_error), 'misuse of aggregate') THEN 'aggregate_misuse' WHEN contains(lower(pred_error), 'near') THEN 'syntax_near' ELSE 'other' END"
 _TYPES_SQL = f"""WITH {EVALS}, {SQLS}, j AS (SELECT e.*, s.sql, {_CATEGORY} AS cat FROM evals e JOIN sqls s ON s.doc_id = e.question_id WHERE exec_failed OR wrong_result),
-k AS (SELECT question_id, coalesce(CASE WHEN exec_failed THEN CASE cat {" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in sqlfeat.CATEGORY_TO_TYPE.items())} END END,
+k AS (SELECT question_id, coalesce(CASE WHEN exec_failed THEN CASE cat {" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in sqlfeat.CATEGORY_TO_TYPE.items())} END END, CASE WHEN exec_failed AND contains(lower(pred_error), 'ambiguous') THEN 'alias_error' END,
   CASE WHEN length(trim(sql)) > 0 AND (length(trim(sql)) < 10 OR NOT starts_with(upper(trim(sql)), 'SELECT')) THEN 'degenerate_or_truncated_sql' WHEN wrong_result THEN 'wrong_return_field' WHEN exec_failed THEN 'syntax_local_error' ELSE 'wrong_return_field' END) AS failure_type FROM j)
 SELECT failure_type, {_N} AS attempted, {_if('question_id % 4 = 0')} AS accepted FROM k GROUP BY failure_type"""
 
