@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import shared
 
 #: Chunks that a worker remembers; when full it starts anew, so memory is bounded.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 #: Bytes of a batch handed back to Spark.
 BATCH_BYTES = 16 << 20
 

@@ -35,7 +35,7 @@ _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _FOLD = np.uint64(0xD6E8FEB86659FD93)
 #: Word hashes that a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

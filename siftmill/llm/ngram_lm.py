@@ -30,9 +30,9 @@ from .chosen_path import WORDS, mixed
 BEGIN, END = np.uint64(0x0B5E_B5E0_0000_0001), np.uint64(0x0E4D_E4D0_0000_0002)
 _FOLD = np.uint64(0xD6E8FEB86659FD93)
 #: Tokens that a task holds before it sorts and sends them.
-BUFFER = 3_000_000
+BUFFER = 1_000_000
 #: Tokens that are scored at once.
-SCORED = 400_000
+SCORED = 150_000
 LOG10 = np.log(10.0)
 
 

@@ -33,7 +33,7 @@ PER_CLASS, CLEAN, MAX_CHARS = 1500, 3, 20_000
 #: Likelihood ratio and odds that tie a feature to toxic documents.
 TIED, ODDS = 18.0, 6.0
 WINDOW, WINDOWS = 40, 1500
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 _EDGES = b".,;:!?\"'()[]{}<>|*_-#%$&"
 _TOKEN = re.compile(rb"[^\x20\x09-\x0D]+")
 
