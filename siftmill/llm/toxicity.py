@@ -1,7 +1,7 @@
 """Toxicity: a linear-chain conditional random field tags toxic spans; its marginals make document scores.
 
 Fitting takes a bounded sample of labelled documents, at most ``per_class`` toxic and ``CLEAN`` times
-as many clean ones of at most ``max_chars`` characters, drawn by a hash of doc_id.  Tokens are labelled from it: in toxic documents, a token is toxic if
+as many clean ones of at most ``max_chars`` characters, drawn by a hash of doc_id, of near copies one.  Tokens are labelled from it: in toxic documents, a token is toxic if
 its word or one of its prefixes is tied to toxic documents by a likelihood-ratio test, in each half of
 the sample too.  The field has two
 states, features for word and prefixes, a bias and transitions, fitted by gradient ascent on the exact
@@ -28,11 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
+from .chosen_path import minhashes, shingles
 
 PER_CLASS, CLEAN, MAX_CHARS = 1500, 3, 20_000
 #: Likelihood ratio and odds that tie a feature to toxic documents.
 TIED, ODDS = 18.0, 6.0
 WINDOW, WINDOWS = 40, 1500
+#: Minhashes by which copies in the sample are told.
+COPY_HASHES = 16
 REMEMBERED = 250_000
 _EDGES = b".,;:!?\"'()[]{}<>|*_-#%$&"
 _TOKEN = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -232,8 +235,23 @@ def _fit_chains(chains: list[list[bytes]], tags: list[list[int]], known: set[str
     return {f: float(x[i]) for f, i in number.items()}, x[k], x[k + 1 : k + 5].reshape(2, 2).copy(), x[k + 5 :].copy()
 
 
-def fit(toxic: list[bytes], clean: list[bytes], rate: float) -> Field:
+def distinct(texts: list[bytes], seen: list[set[int]]) -> list[bytes]:
+    """Texts that share no minhash of their word shingles with an earlier one: copies would tie every word they hold."""
+    out = []
+    for text in texts:
+        sketch = minhashes(shingles(text, 5))[: len(seen)].tolist()
+        if not any(h in s for h, s in zip(sketch, seen)):
+            out.append(text)
+            for h, s in zip(sketch, seen):
+                s.add(h)
+    return out
+
+
+def fit(toxic: list[bytes], clean: list[bytes], rate: float, per_class: int = PER_CLASS) -> Field:
     """A field from the texts of toxic and clean documents; ``rate``: share of toxic ones among all labelled."""
+    toxic, clean = ([x for x in side if x.split()] for side in (toxic, clean))
+    seen: list[set[int]] = [set() for _ in range(COPY_HASHES)]
+    toxic, clean = distinct(toxic, seen)[:per_class], distinct(clean, seen)[: per_class * CLEAN]
     if not toxic or not clean:
         logit = math.log(max(rate, 1e-9) / max(1 - rate, 1e-9))
         return Field({}, -20.0, np.zeros((2, 2)), np.zeros(2), (0.0, logit))
@@ -285,8 +303,8 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: in
     ids = F.broadcast(spark.createDataFrame([(i, y) for i, y in wanted.items()], "doc_id long, label int"))  # at most 2 * (1 + CLEAN) * per_class rows
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id").where((F.length("text") > 0) & (F.length("text") <= max_chars)).select("doc_id", "label", "text")
     rows = sorted(sample.collect(), key=lambda r: (r.doc_id, r.text))
-    side = [[r.text.encode() for r in rows if r.label == y][: per_class * (1 if y else CLEAN)] for y in (0, 1)]
-    return fit(side[1], side[0], rate)
+    side = [[r.text.encode() for r in rows if r.label == y] for y in (0, 1)]
+    return fit(side[1], side[0], rate, per_class)
 
 
 def score(docs: DataFrame, field: Field) -> DataFrame:
