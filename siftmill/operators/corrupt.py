@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .sqltext import aliases
 
 
 def _first(c: Column, pattern: str, replacement: str) -> Column:
@@ -45,3 +51,55 @@ def truncate(c: Column, seed: Column) -> Column:
     """Cut at 50 to 80 per cent of the length, by a hash of the seed."""
     part = F.lit(50) + F.pmod(F.conv(F.substring(F.md5(seed.cast("string").cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(31))
     return F.substring(c, F.lit(1), F.floor(F.length(c) * part / 100).cast("int"))
+
+
+def _pick(seed, options: list):
+    """A choice that follows from the seed alone."""
+    import hashlib
+
+    return options[int(hashlib.md5(str(seed).encode()).hexdigest()[:8], 16) % len(options)] if options else None
+
+
+def drop_condition(sql: str, seed) -> str:
+    """Without one of the WHERE clause's AND conditions, or without WHERE if it has only one."""
+    m = re.search(r"(?is)\bwhere\b(.*?)(?=\b(?:group\s+by|having|order\s+by|limit|union)\b|$)", sql or "")
+    if not m:
+        return sql or ""
+    parts, depth, last, body = [], 0, 0, m[1]
+    for t in re.finditer(r"'(?:[^']|'')*'|\(|\)|(?i:\bbetween\b)|(?i:\band\b)", body):
+        depth += (t[0] == "(") - (t[0] == ")")
+        if t[0].lower() == "between":
+            depth += 1  # its own AND ends it
+        elif t[0].lower() == "and" and depth:
+            depth -= depth == 1 and "between" in body[last : t.start()].lower()
+        elif t[0].lower() == "and":
+            parts.append(body[last : t.start()].strip())
+            last = t.end()
+    parts.append(body[last:].strip())
+    if len(parts) < 2:
+        return (sql[: m.start()].rstrip() + " " + sql[m.end() :].lstrip()).strip()
+    gone = _pick(seed, list(range(len(parts))))
+    kept = " AND ".join(p for k, p in enumerate(parts) if k != gone)
+    return f"{sql[: m.start()]}WHERE {kept} {sql[m.end() :]}".strip()
+
+
+def swap_alias(sql: str, seed) -> str:
+    """One qualified column moves to another alias."""
+    names = sorted(aliases(sql))
+    used = [m for m in re.finditer(r"\b([A-Za-z_]\w*)\.[A-Za-z_]\w*", sql or "") if m[1] in names]
+    m = _pick(seed, used)
+    other = _pick(f"{seed}/", [n for n in names if m and n != m[1]])
+    return f"{sql[: m.start(1)]}{other}{sql[m.end(1) :]}" if m and other else sql or ""
+
+
+def wrong_column(sql: str, seed, columns: list[str]) -> str:
+    """One column name becomes another of the catalogue."""
+    known = {c.lower() for c in columns}
+    m = _pick(seed, [m for m in re.finditer(r"\b[A-Za-z_]\w*\b", sql or "") if m[0].lower() in known])
+    other = _pick(f"{seed}/", sorted(c for c in columns if m and c.lower() != m[0].lower()))
+    return f"{sql[: m.start()]}{other}{sql[m.end() :]}" if m and other else sql or ""
+
+
+def by_row(function, *args):
+    """One of the corruptions above as a column of (sql, seed), in Arrow batches."""
+    return F.pandas_udf(lambda s, k: pd.Series([function(x or "", i, *args) for x, i in zip(s, k)], dtype=object), T.StringType())

@@ -120,3 +120,54 @@ class Evaluator:
         with ThreadPoolExecutor(workers) as threads:
             found = list(threads.map(self.one, rows))
         return self.spark.createDataFrame([tuple(asdict(r).values()) for r in found], RECORD_SCHEMA)
+
+
+class Verifier(Evaluator):
+    """Checks of corrections and of made pairs, and loops that ask for new tries."""
+
+    def correction(self, corrected: str, reference: str, broken: str, schema_ok: bool = True) -> str:
+        """ok, or the first reason why a correction does not count."""
+        from .sqltext import lex
+
+        words = [t.lower() for t in lex(corrected)]
+        if not words or words[0] not in ("select", "with"):
+            return "prose"
+        if not schema_ok:
+            return "schema"
+        want, error = self.run(normalize(reference))
+        if error is not None:
+            return "reference fails"
+        got, error = self.run(normalize(corrected))
+        if error is not None:
+            return "correction fails"
+        if not set_equal(want, got):
+            return "results differ"
+        return "unchanged" if normalize(corrected).lower() == normalize(broken).lower() else "ok"
+
+    def pair(self, parent: str, broken: str) -> str:
+        """ok if a made error is one: the parent runs, the texts differ, and the broken text fails or answers otherwise."""
+        if normalize(parent).lower() == normalize(broken).lower():
+            return "same text"
+        want, error = self.run(normalize(parent))
+        if error is not None:
+            return "parent fails"
+        got, error = self.run(normalize(broken))
+        return "ok" if error is not None or not set_equal(want, got) else "same result"
+
+    def repair_loop(self, rows: list[dict], propose, attempts: int = 2, accept=None) -> list[dict]:
+        """Asks ``propose(row, attempt)`` for each pending row until ``accept`` takes it; one log entry a try.
+
+        ``accept(row, sql)`` is by default: it runs.
+        """
+        accept = accept or (lambda row, sql: self.run(normalize(sql))[1] is None)
+        log, pending = [], list(rows)
+        for attempt in range(1, attempts + 1):
+            left = []
+            for row in pending:
+                sql = propose(row, attempt)
+                done = bool(sql) and accept(row, sql)
+                log.append({"question_id": row["question_id"], "attempt": attempt, "sql": sql, "accepted": done})
+                if not done:
+                    left.append(row)
+            pending = left
+        return log

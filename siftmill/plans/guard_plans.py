@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sqlfeat, text
 from ..operators import compaction, corrupt, metrics, repair, sample, sqltext
+from ..operators.evaluate import Verifier
 from .fixtures import EVALS, SQLS, evals, fks, sqls, table
 
 _N = "CAST(count(*) AS BIGINT)"
@@ -195,7 +196,45 @@ def templates(spark, sf_dir):
 
 _TEMPLATES_SQL = "WITH t(tab, key) AS (VALUES ('region', 'r_regionkey'), ('nation', 'n_nationkey'), ('customer', 'c_custkey'), ('orders', 'o_orderkey')) SELECT tab, 'count' AS shape, 'How many ' || tab || '?' AS question, 'SELECT COUNT(*) FROM ' || tab AS sql, CAST(3 AS BIGINT) AS messages FROM t UNION ALL SELECT tab, 'list', 'List ' || key || ' of ' || tab || '.', 'SELECT ' || key || ' FROM ' || tab || ' ORDER BY ' || key, 3 FROM t"
 
+def corrupted(spark, sf_dir):
+    """Row-wise corruptions with choices that follow from doc_id."""
+    d = sqls(spark, sf_dir)
+    i = F.col("doc_id")
+    return d.select(
+        "doc_id", corrupt.by_row(corrupt.drop_condition)("sql", i).alias("dropped"), corrupt.by_row(corrupt.swap_alias)("sql", i).alias("swapped"),
+        corrupt.by_row(corrupt.wrong_column, ["id", "name", "n_chars", "key"])("sql", i).alias("renamed"), corrupt.truncate(F.col("sql"), i).alias("cut"),
+    )
+
+
+_CHECKED = [
+    (1, "SELECT count(*) FROM nation", "SELECT count(n_name) FROM nation", "SELECT cnt FROM nation", "ok", "ok"),
+    (2, "SELECT count(*) FROM nation", "SELECT count(*) FROM region", "SELECT count(1) FROM nation", "results differ", "same result"),
+    (3, "SELECT n_name FROM nation", "Sorry, I cannot", "SELECT n_name FROM nation", "prose", "same text"),
+    (4, "SELECT nope FROM nation", "SELECT n_name FROM nation", "SELECT n_name FROM nations", "reference fails", "parent fails"),
+    (5, "SELECT n_name FROM nation", "SELECT nope FROM nation", "SELECT n_nationkey FROM nation", "correction fails", "ok"),
+]
+
+
+def verified(spark, sf_dir):
+    """Corrections and made errors, executed and judged."""
+    for name in ("nation", "region"):
+        table(spark, sf_dir, name).createOrReplaceTempView(name)
+    v = Verifier(spark)
+    rows = [(k, v.correction(fixed, gold, broken), v.pair(gold, broken)) for k, gold, fixed, broken, _, _ in _CHECKED]
+    return spark.createDataFrame(rows, "k long, correction string, pair string")
+
+
+def parity(spark, sf_dir):
+    """F16: where two versions of a prompt first differ; 0 where they do not."""
+    d = sqls(spark, sf_dir).withColumn("other", corrupt.remove_backticks(F.col("sql")))
+    same = F.expr("size(filter(sequence(1, least(length(sql), length(other))), i -> substring(sql, 1, i) = substring(other, 1, i)))")
+    return d.select("doc_id", F.when(F.col("sql") != F.col("other"), same + 1).otherwise(0).cast("long").alias("at"))
+
+
 QUERIES = {
+    "corrupted": (corrupted, None),
+    "verified": (verified, "SELECT CAST(k AS BIGINT) AS k, correction, pair FROM (VALUES " + ", ".join(f"({c[0]}, '{c[4]}', '{c[5]}')" for c in _CHECKED) + ") AS t(k, correction, pair)"),
+    "prompt_parity": (parity, f"WITH {SQLS}, p AS (SELECT doc_id, sql, replace(sql, chr(96), '') AS other FROM sqls) SELECT doc_id, CASE WHEN sql <> other THEN CAST(instr(sql, chr(96)) AS BIGINT) ELSE 0 END AS at FROM p"),
     "ddl_columns": (ddl_columns, _DDL_SQL),
     "select_items": (select_items, None),
     "hygiene": (hygiene, None),

@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from siftmill.operators import compaction, repair, sqltext
+from siftmill.operators import compaction, corrupt, repair, sqltext
+from siftmill.operators.evaluate import Verifier
 
 
 def test_aliases():
@@ -72,3 +73,18 @@ def test_compaction(spark):
     got = {r.question_id: r for r in compaction.compact(q, cols, keys).collect()}
     assert got[1].status == "success" and got[1].n_tables == 3 and "colour TEXT" in got[1].ddl and "w6" not in got[1].ddl
     assert got[2].status == "fallback" and got[2].reduction == 0.0
+
+
+def test_corruptions():
+    q = "SELECT a.x FROM t a JOIN u b ON a.id = b.id WHERE a.x BETWEEN 1 AND 2 AND (b.y = 1 AND b.z = 2) AND a.w = 'p AND q' ORDER BY 1"
+    got = {corrupt.drop_condition(q, k) for k in range(40)}
+    assert len(got) == 3 and all(x.endswith("ORDER BY 1") and x.count("WHERE") == 1 for x in got)
+    assert corrupt.drop_condition("SELECT 1 FROM t WHERE x = 1", 0) == "SELECT 1 FROM t" and corrupt.drop_condition("SELECT 1", 0) == "SELECT 1"
+    assert {corrupt.swap_alias("SELECT a.x FROM t a, u b", k) for k in range(9)} == {"SELECT b.x FROM t a, u b"} or corrupt.swap_alias("SELECT a.x FROM t a JOIN u b", 1) == "SELECT b.x FROM t a JOIN u b"
+    assert corrupt.wrong_column("SELECT id FROM t", 3, ["id", "name"]) == "SELECT name FROM t"
+
+
+def test_repair_loop(spark):
+    tries = {(1, 1): "SELECT nope", (1, 2): "SELECT 1", (2, 1): "SELECT 2", (3, 1): "", (3, 2): "SELEC"}
+    log = Verifier(spark).repair_loop([{"question_id": k} for k in (1, 2, 3)], lambda r, a: tries[r["question_id"], a])
+    assert [(x["question_id"], x["attempt"], x["accepted"]) for x in log] == [(1, 1, False), (2, 1, True), (3, 1, False), (1, 2, True), (3, 2, False)]
