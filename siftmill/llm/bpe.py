@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import shared
 
 #: Chunks that a worker remembers; when full it starts anew, so memory is bounded.
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 #: Bytes of a batch handed back to Spark.
 BATCH_BYTES = 16 << 20
 
@@ -167,7 +167,7 @@ def encode(docs: DataFrame, tokenizer: str, decoded: bool = False, keep: tuple[s
                     at, size, out = i + 1, 0, []
             yield taken(batch.num_rows)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *kept, F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *kept, F.col("text").cast("string").alias("text")).transform(shared.in_arrow, run, schema)
 
 
 def decode(tokens: DataFrame, tokenizer: str) -> DataFrame:
@@ -179,7 +179,7 @@ def decode(tokens: DataFrame, tokenizer: str) -> DataFrame:
             text = [bpe.decode(bytes(x)) for x in shared.utf8_rows(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.binary()).cast(pa.string())], names=["doc_id", "decoded"])
 
-    return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded string")
+    return tokens.select("doc_id", "ids").transform(shared.in_arrow, run, "doc_id long, decoded string")
 
 
 def default_tokenizer() -> str:

@@ -35,7 +35,7 @@ _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _FOLD = np.uint64(0xD6E8FEB86659FD93)
 #: Word hashes that a worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -239,7 +239,7 @@ class ChosenPathJoin:
                 short = [(x & np.uint32(255)).astype(np.uint8).tobytes() for x in sketch]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array([x.tobytes() for x in sketch], pa.binary()), pa.array(short, pa.binary())], names=["doc_id", "n", "key", "sketch", "short"])
 
-        all_rows = self.docs.mapInArrow(run, "doc_id long, n long, key binary, sketch binary, short binary")
+        all_rows = self.docs.transform(shared.in_arrow, run, "doc_id long, n long, key binary, sketch binary, short binary")
         self.sketched = shared.saved(all_rows, f"{self.base}/sketches")
         self.classes = shared.saved(self.sketched.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("id")), f"{self.base}/classes")
         one = self.sketched.where("key is not null").join(self.classes.withColumnRenamed("key", "k").hint("merge"), (F.col("key") == F.col("k")) & (F.col("doc_id") == F.col("id"))).groupBy("id").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("short").alias("short"))
@@ -266,7 +266,7 @@ class ChosenPathJoin:
                 node, ids, s = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(), _matrix(batch.column(2), np.uint32, COORDINATES)
                 yield emit(*children(node, s, threshold), ids)
 
-        rows, done = self.reps.select("id", "sketch").mapInArrow(first, "node long, id long"), []
+        rows, done = self.reps.select("id", "sketch").transform(shared.in_arrow, first, "node long, id long"), []
         for level in range(1, self.depth + 1):
             rows = shared.saved(rows, f"{self.base}/level{level}")
             sizes = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1").select(F.col("node").alias("at"), "size")
@@ -276,7 +276,7 @@ class ChosenPathJoin:
             large = live.where(F.col("size") > SMALL)
             if level == self.depth or not large.limit(1).count():
                 break
-            rows = large.select("node", "id").join(self.reps.select("id", "sketch").hint("merge"), "id").select("node", "id", "sketch").mapInArrow(later, "node long, id long")
+            rows = large.select("node", "id").join(self.reps.select("id", "sketch").hint("merge"), "id").select("node", "id", "sketch").transform(shared.in_arrow, later, "node long, id long")
         nodes = done[0]
         for x in done[1:]:
             nodes = nodes.unionByName(x)
@@ -289,7 +289,7 @@ class ChosenPathJoin:
         threshold = self.threshold
         slot = F.when(F.col("size") > SMALL, F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK).cast("long"))).otherwise(F.lit(0).cast("long"))
         full = self._with_short(rows.withColumn("slot", slot)).select("node", "slot", "id", "size", "n", "short")
-        return full.repartition("node", "slot").sortWithinPartitions("node", "slot", "id").mapInArrow(lambda b: _led(b, threshold), "node long, a long, b long")
+        return full.repartition("node", "slot").sortWithinPartitions("node", "slot", "id").transform(shared.in_arrow, lambda b: _led(b, threshold), "node long, a long, b long")
 
     def sets(self, ids: DataFrame, path: str) -> DataFrame:
         """(id, found): full sets of some rows; only their texts are read again."""
@@ -301,7 +301,7 @@ class ChosenPathJoin:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxh3_128_digest(x) for x in out], pa.binary()), pa.array(out, pa.binary())], names=["id", "key", "found"])
 
         ids = shared.saved(ids.select(F.col("id").alias("doc_id")).distinct(), f"{path}-ids")
-        full = self.docs.join(shared.small_side(ids, f"{path}-ids"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "id long, key binary, found binary")
+        full = self.docs.join(shared.small_side(ids, f"{path}-ids"), "doc_id", "left_semi").select("doc_id", "text").transform(shared.in_arrow, run, "id long, key binary, found binary")
         # Of rows that share a doc_id, the class that it stands for has the right set.
         full = full.join(self.classes.withColumnRenamed("id", "rep"), "key", "left_semi")
         return shared.saved(full.dropDuplicates(["id", "key"]).select("id", "found"), f"{path}-sets")
@@ -318,7 +318,7 @@ class ChosenPathJoin:
         pairs = shared.saved(pairs, f"{path}-pairs")
         full = self.sets(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))), path)
         left, right = (full.select(F.col("id").alias(c), F.col("found").alias(f"{c}_found")).hint("merge") for c in "ab")
-        links = shared.saved(pairs.join(left, "a").join(right, "b").select("a", "b", "a_found", "b_found").mapInArrow(compare, "a long, b long"), f"{path}-links")
+        links = shared.saved(pairs.join(left, "a").join(right, "b").select("a", "b", "a_found", "b_found").transform(shared.in_arrow, compare, "a long, b long"), f"{path}-links")
         shared.delete(self.spark, f"{path}-sets")
         return links
 
@@ -355,7 +355,7 @@ class ChosenPathJoin:
         cut = rows.withColumn("slot", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
         cut = cut.select("node", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"), (F.col("slot") > F.col("other")).cast("long").alias("side"), "id", "comp")
         whole = self._with_short(cut).join(full.hint("merge"), "id").select("node", "i", "j", "side", "id", "comp", "n", "short", "found")
-        links = whole.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j", "id").mapInArrow(lambda b: _crossed(b, threshold, pct), "a long, b long")
+        links = whole.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j", "id").transform(shared.in_arrow, lambda b: _crossed(b, threshold, pct), "a long, b long")
         links = shared.saved(links.distinct(), f"{path}-links")
         shared.delete(self.spark, f"{path}-sets")
         return links

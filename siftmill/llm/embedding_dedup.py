@@ -58,7 +58,7 @@ def _packed(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
                 out.append((x + 0.0).tobytes() if len(x) and np.isfinite(x).all() and x.any() else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "vec"])
 
-    return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).mapInArrow(run, "id long, vec binary")
+    return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).transform(shared.in_arrow, run, "id long, vec binary")
 
 
 def _hashed(threshold: float, tables: int, bits: int):
@@ -138,13 +138,13 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, threshold: float = 0.9
     classes = shared.saved(rows.where("vec is not null").groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("copies")), f"{base}/classes")
     n = classes.count()
     bits, tables = plan(n, threshold, recall)
-    hashed = shared.saved(classes.select("id", "vec", "copies").mapInArrow(_hashed(threshold, tables, bits), "bucket long, id long, copies long, vec binary, sig binary"), f"{base}/hashed")
+    hashed = shared.saved(classes.select("id", "vec", "copies").transform(shared.in_arrow, _hashed(threshold, tables, bits), "bucket long, id long, copies long, vec binary, sig binary"), f"{base}/hashed")
     sizes = shared.saved(hashed.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK), f"{base}/sizes")
     sized = hashed.join(shared.small_side(sizes, f"{base}/sizes"), "bucket", "left")
     blocks = F.coalesce(F.ceil(F.col("size") / BLOCK).cast("long"), F.lit(1).cast("long"))
     cut = sized.withColumn("slot", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     cut = cut.select("bucket", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"), (F.col("slot") > F.col("other")).cast("long").alias("side"), "id", "copies", "vec", "sig")
-    found = cut.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(lambda b: _linked(b, threshold, bits), "id long, other long, n long")
+    found = cut.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").transform(shared.in_arrow, lambda b: _linked(b, threshold, bits), "id long, other long, n long")
     found = shared.saved(found, f"{base}/found")
     shared.delete(spark, f"{base}/hashed")
     groups = connected_components(spark, found.select("id", "other").distinct(), "id", "other")

@@ -46,7 +46,7 @@ def digested(docs: DataFrame, with_text: bool = False, digest=sha256) -> DataFra
             names = ["doc_id", "file", "digest", "n_code"] + ["norm"] * with_text
             yield pa.RecordBatch.from_arrays(out + [pa.array(norm, pa.binary())] * with_text, names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.input_file_name().alias("file"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.input_file_name().alias("file"), F.col("text").cast("string").alias("text")).transform(shared.in_arrow, run, schema)
 
 
 def _stays() -> F.Column:

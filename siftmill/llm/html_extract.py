@@ -403,9 +403,9 @@ def wrappers(pages: DataFrame) -> DataFrame:
                 _add(held, host, json.loads(w))
         yield _merge_rows(held)
 
-    part = pages.select("url", "html").mapInArrow(induce, "host string, wrapper string").withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(16)))
+    part = pages.select("url", "html").transform(shared.in_arrow, induce, "host string, wrapper string").withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(16)))
     for keys in (["host", "salt"], ["host"]):
-        part = part.repartition(*keys).sortWithinPartitions("host", "wrapper").select("host", "wrapper").mapInArrow(merge, "host string, wrapper string")
+        part = part.repartition(*keys).sortWithinPartitions("host", "wrapper").select("host", "wrapper").transform(shared.in_arrow, merge, "host string, wrapper string")
         if keys != ["host"]:
             part = part.withColumn("salt", F.lit(0))
     return part
@@ -433,7 +433,7 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
                     mine[h] = json.loads(known.value[h]) if h in known.value else None
                 yield rows(batch, [mine[h] for h in hosts])
 
-        return pages.mapInArrow(run, schema)
+        return pages.transform(shared.in_arrow, run, schema)
 
     def run_joined(batches):
         for batch in batches:
@@ -441,7 +441,7 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
 
     host = F.pandas_udf(lambda s: s.map(host_of), "string")
     joined = pages.withColumn("h", host("url")).join(table.withColumnRenamed("host", "h").hint("merge"), "h", "left")
-    return joined.select("page_id", "url", "html", "wrapper").mapInArrow(run_joined, schema)
+    return joined.select("page_id", "url", "html", "wrapper").transform(shared.in_arrow, run_joined, schema)
 
 
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

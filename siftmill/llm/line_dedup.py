@@ -62,7 +62,7 @@ def line_counts(docs: DataFrame, min_chars: int = 1) -> DataFrame:
                     counts.clear()
         yield out()
 
-    return _texts(docs).mapInArrow(run, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return _texts(docs).transform(shared.in_arrow, run, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def _rebuilt(batch: pa.RecordBatch, dropped, kept_bytes: int = 64 << 20):
@@ -102,7 +102,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, min_docs: int = 10, min_cha
             for batch in batches:
                 yield from _rebuilt(batch, lambda _, lines: [_hash_of(x, min_chars) in known for x in lines])
 
-        return _texts(docs).mapInArrow(run, SCHEMA)
+        return _texts(docs).transform(shared.in_arrow, run, SCHEMA)
     return _joined(docs, frequent, min_chars)
 
 
@@ -121,10 +121,10 @@ def _joined(docs: DataFrame, frequent: DataFrame, min_chars: int) -> DataFrame:
             gone = [set(x or ()) for x in batch.column(2).to_pylist()]
             yield from _rebuilt(batch, lambda i, lines: [k in gone[i] for k in range(len(lines))])
 
-    spots = _texts(docs).mapInArrow(lines, "id long, at int, key binary").join(frequent.hint("merge"), "key", "left_semi")
+    spots = _texts(docs).transform(shared.in_arrow, lines, "id long, at int, key binary").join(frequent.hint("merge"), "key", "left_semi")
     # A document's own lines are all that meets in one group; repeated doc_ids with other texts keep their own positions below.
     gone = spots.groupBy("id").agg(F.collect_set("at").alias("gone"))
-    return _texts(docs).join(gone.hint("merge"), F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", "gone").mapInArrow(rebuild, SCHEMA)
+    return _texts(docs).join(gone.hint("merge"), F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", "gone").transform(shared.in_arrow, rebuild, SCHEMA)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

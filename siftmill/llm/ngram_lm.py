@@ -285,15 +285,15 @@ def train(spark: SparkSession, docs: DataFrame) -> Model:
     """Count ``docs`` (column text) into a model below the shared folder."""
     folder = shared.work_dir(spark, "ngram_lm")
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count(shards), BLOCK_SCHEMA)
+    counted = docs.select(F.col("text").cast("string").alias("text")).transform(shared.in_arrow, _count(shards), BLOCK_SCHEMA)
     dealt = counted.repartition(shards, "shard").sortWithinPartitions("kind", "shard")
-    merged = shared.saved(dealt.mapInArrow(_merge_pairs(folder, shards), BLOCK_SCHEMA), f"{folder}/sums")
+    merged = shared.saved(dealt.transform(shared.in_arrow, _merge_pairs(folder, shards), BLOCK_SCHEMA), f"{folder}/sums")
     high = np.zeros(4, np.int64)
     for r in merged.where("kind = 2").select("payload").toLocalIterator():  # four numbers a shard
         high += np.frombuffer(r[0], np.int64)
     words = merged.where("kind < 2").repartition(shards, "shard").sortWithinPartitions("shard", "kind")
     schema = "shard long, tokens long, words long, pairs long, c1 long, c2 long, c3 long, c4 long"
-    sums = words.mapInArrow(_merge_words(folder), schema).agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "words", "pairs", "c1", "c2", "c3", "c4"))).first()
+    sums = words.transform(shared.in_arrow, _merge_words(folder), schema).agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "words", "pairs", "c1", "c2", "c3", "c4"))).first()
     shared.delete(spark, f"{folder}/sums")
     total, known, pairs, *low = (int(x) for x in sums)
     d = discounts(low)
@@ -332,7 +332,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         if held:
             yield flush(model, ids, held)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double, perplexity double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).transform(shared.in_arrow, run, "doc_id long, n_tokens long, n_known long, base_score double, score double, perplexity double")
 
 
 def held_out() -> F.Column:

@@ -7,6 +7,9 @@ the session leaves it unset (tests, notebooks) a folder of our own is made.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -72,6 +75,31 @@ def small_side(df: DataFrame, path: str, limit: int = BROADCAST_BYTES) -> DataFr
 
 # ---- Arrow ---------------------------------------------------------------
 
+#: Rows and bytes of a batch between Spark and Python: with texts of any length, a worker holds little at a time.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+
+
+def _give_back() -> None:
+    """Free memory goes back to the system; workers live on for other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def in_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """``mapInArrow`` in small batches."""
+    for key, value in BATCHES.items():
+        df.sparkSession.conf.set(key, value)
+
+    def bounded(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(bounded, schema)
+
 
 def utf8_rows(column) -> list[memoryview]:
     """The UTF-8 bytes of each row without decoding; null is empty."""

@@ -36,7 +36,7 @@ TIED, ODDS = 18.0, 6.0
 WINDOW, WINDOWS = 40, 1500
 #: Minhashes by which copies in the sample are told.
 COPY_HASHES = 16
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 _EDGES = b".,;:!?\"'()[]{}<>|*_-#%$&"
 _TOKEN = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -323,7 +323,7 @@ def score(docs: DataFrame, field: Field) -> DataFrame:
                 spans.append(f.spans(text, at, p) if len(at) else [])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(spans, kind)], names=["doc_id", "score", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, spans array<struct<start:int,end:int,p:double>>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).transform(shared.in_arrow, run, "doc_id long, score double, spans array<struct<start:int,end:int,p:double>>")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
