@@ -161,13 +161,17 @@ def _ratio(a: int, b: int, n1: int, n0: int) -> float:
 def tied_features(toxic: list[list[bytes]], clean: list[list[bytes]]) -> set[str]:
     """Features whose document counts tie them to toxic documents, overall and in each half of the sample."""
 
-    def counted(docs):
-        return Counter(f for doc in docs for f in {f for t in set(doc) for f in features(t)})
-
-    halves = [[counted(side[k::2]) for side in (toxic, clean)] for k in (0, 1)]
+    def counted(docs, wanted=None):
+        seen = ({f for t in set(doc) for f in features(t)} for doc in docs)
+        return Counter(f for doc in seen for f in (doc if wanted is None else doc & wanted))
+
+    sides = [counted(toxic[k::2]) for k in (0, 1)]
+    wanted = {f for f, a in sides[0].items() if a > 1 and sides[1].get(f, 0) > 1}
+    # Of clean documents only what could be tied is counted: the driver holds no table of all their features.
+    halves = [[{f: sides[k][f] for f in wanted}, counted(clean[k::2], wanted)] for k in (0, 1)]
     n = [(len(toxic[k::2]), len(clean[k::2])) for k in (0, 1)]
     out = set()
-    for f in set(halves[0][0]) & set(halves[1][0]):
+    for f in wanted:
         (a, b), (c, d) = ((t[f], o.get(f, 0)) for t, o in halves)
         if min(_ratio(a, b, *n[0]), _ratio(c, d, *n[1])) >= TIED / 3 and _ratio(a + c, b + d, len(toxic), len(clean)) >= TIED:
             out.add(f)
@@ -255,7 +259,8 @@ def fit(toxic: list[bytes], clean: list[bytes], rate: float, per_class: int = PE
     if not toxic or not clean:
         logit = math.log(max(rate, 1e-9) / max(1 - rate, 1e-9))
         return Field({}, -20.0, np.zeros((2, 2)), np.zeros(2), (0.0, logit))
-    bad, good = ([x.split() for x in side] for side in (toxic, clean))
+    one: dict[bytes, bytes] = {}  # a token is held once
+    bad, good = ([[one.setdefault(t, t) for t in x.split()] for x in side] for side in (toxic, clean))
     known = tied_features(bad, good)
     marks = {t: any(f in known for f in features(t)) for doc in bad for t in set(doc)}
     chains, tags = [], []
