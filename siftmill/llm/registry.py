@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chosen_path, embedding_dedup, exact_dedup, html_extract, line_dedup, mixing, ngram_lm, toxicity
+from . import bpe, chosen_path, embedding_dedup, exact_dedup, html_extract, line_dedup, mixing, ngram_lm, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_embedding_dedup": (embedding_dedup.op1_embedding_dedup, None),
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_html_extract": (html_extract.op4_html_extract, None),
     "op5_line_dedup": (line_dedup.op5_line_dedup, line_dedup.ORACLE),
     "op6_ngram_lm": (ngram_lm.op6_ngram_lm, None),
+    "op7_suffix_dedup": (suffix_dedup.op7_suffix_dedup, None),
     "op8_toxicity": (toxicity.op8_toxicity, None),
     "op9_chosen_path": (chosen_path.op9_chosen_path, None),
     "op10_exact_dedup": (exact_dedup.op10_exact_dedup, exact_dedup.ORACLE),
