@@ -1,11 +1,18 @@
 """Suffix-array dedup: sparse suffix arrays over minimiser positions, neighbours compared, matches extended.
 
 A position is kept if its ``gram``-word hash is the least in some window of ``window`` positions, so equal
-passages keep equal positions.  The kept suffixes, by a hash of their first ``prefix`` words, document and
-position, are sorted over all partitions; a passage of window + gram + prefix - 2 words or more has such a
-suffix.  Only neighbours in this order are compared, so a passage in n documents makes about n pairs, and a
-hot passage is cut at range bounds (the rows at the bounds are compared in a second small pass).  Matches are
-then extended to the left and right over the words of both documents.
+passages keep equal positions; a passage of window + gram + prefix - 2 words or more has one with ``prefix``
+words from there on.  Positions whose prefix is found in several documents are sorted over all partitions
+twice: by what follows the prefix and by what stands before it, word by word for ``tail`` words and then by
+hashes of runs that grow by a quarter.  In each order every position is compared with the nearest of another document
+before and after it, which share most with it, so a passage found n times makes at most about 4n pairs, and a
+hot passage is cut at range bounds (the rows at the bounds are compared in a second pass).  Matches are then
+extended to the left and right over the words of both documents.  A position where all documents agree on the
+``context`` words before it is left out of the first order, as its neighbour on that side has the same
+documents and matches; likewise for the second order and the words from there on.
+
+Sharing beyond ``tail`` words is ranked by whole runs; there, the other order tells the words apart.  A pair whose match is neither the longest to the right nor to the left at any position is found only
+as the parts that other documents share.
 
 Words are runs between ASCII white space with A-Z lower-cased.  Passages repeated inside one document only
 are not reported.  Null and empty texts have no passages; copies match over their whole length; an empty
@@ -18,11 +25,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh32_digest
 
 from . import shared
 from .chosen_path import WORDS, _FOLD, mixed
 
 GRAM, WINDOW, PREFIX, MIN_WORDS = 5, 20, 25, 50
+#: Words of the order that are told apart one by one, after the prefix and before it.
+TAIL = 32
+#: Words around a position in which the next kept position on that side, its window and its prefix lie.
+CONTEXT = 40
 
 
 def word_hashes(text: bytes) -> np.ndarray:
@@ -40,6 +52,27 @@ def rolled(h: np.ndarray, n: int) -> np.ndarray:
     return mixed(out)
 
 
+def run_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """As ``rolled`` in the logarithm of n steps, for runs of 2 ** k * 5 words; other hashes, 32 bits."""
+    out, size = rolled(h, 5), 5
+    while size < n and len(out):
+        out = out[:-size] * _FOLD + mixed(out[size:]) if len(out) > size else out[:0]
+        size *= 2
+    return mixed(out) >> np.uint64(32)
+
+
+def contexts(h: np.ndarray, at: np.ndarray, doc_id: int) -> np.ndarray:
+    """Hashes of the ``CONTEXT`` words before each position (high half) and of five more from it on (low half).
+
+    Where there are fewer, the document's own mark stands instead, which differs from every other's.
+    """
+    runs = run_hashes(h, CONTEXT)
+    out = np.full((2, len(at)), mixed(np.array([doc_id]).view(np.uint64))[0] >> np.uint64(32), np.uint64)
+    before, after = at >= CONTEXT, at + CONTEXT + 5 <= len(h)
+    out[0, before], out[1, after] = runs[at[before] - CONTEXT], mixed(runs[at[after]] * _FOLD + runs[at[after] + 5]) >> np.uint64(32)
+    return ((out[0] << np.uint64(32)) | out[1]).view(np.int64)
+
+
 def kept_positions(h: np.ndarray) -> np.ndarray:
     """Minimiser positions that have ``PREFIX`` words from there on."""
     grams = rolled(h, GRAM)
@@ -55,7 +88,7 @@ def kept_positions(h: np.ndarray) -> np.ndarray:
 
 def _suffixes(batches):
     for batch in batches:
-        key, ids, pos = [], [], []
+        key, ids, pos, context = [], [], [], []
         for i, text in zip(batch.column(0).to_pylist(), shared.utf8_rows(batch.column(1))):
             h = word_hashes(bytes(text))
             at = kept_positions(h)
@@ -63,34 +96,96 @@ def _suffixes(batches):
                 key.append(rolled(h, PREFIX)[at])
                 ids.append(np.full(len(at), i, np.int64))
                 pos.append(at)
+                context.append(contexts(h, at, i))
         if key:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(pos).astype(np.int32))], names=["key", "id", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(pos).astype(np.int32)), pa.array(np.concatenate(context))], names=["key", "id", "pos", "context"])
+
+
+def _ordered(batches):
+    """Both directions of each shared position: a key for the words from there on and what follows them or stands before, in order."""
+    for batch in batches:
+        key, tail, ids, pos = [], [], [], []
+        for i, places, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shared.utf8_rows(batch.column(2))):
+            h = np.frombuffer(words, np.uint64)
+            short = (h >> np.uint64(32)).astype(">u4")
+            for p in places:
+                k, at = p["key"], p["pos"]
+                for used, way, side in ((p["ahead"], k, short[at + PREFIX :]), (p["back"], k ^ 1, short[:at][::-1])):
+                    if not used:
+                        continue
+                    key.append(way), tail.append(_tail(side)), ids.append(i), pos.append(at)
+            if len(key) >= 20_000:
+                yield _tails(key, tail, ids, pos)
+                key, tail, ids, pos = [], [], [], []
+        yield _tails(key, tail, ids, pos)
+
+
+def _tail(side: np.ndarray) -> bytes:
+    """The next ``TAIL`` words one by one, then hashes of runs, each a quarter of what is before it."""
+    out, at = side[:TAIL].tobytes(), TAIL
+    while at < len(side):
+        out += xxh32_digest(side[at : at + at // 4].tobytes())
+        at += at // 4
+    return out
+
+
+def _tails(key, tail, ids, pos):
+    return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(tail, pa.binary()), pa.array(ids, pa.int64()), pa.array(pos, pa.int32())], names=["key", "tail", "id", "pos"])
 
 
 def _neighbours(batches):
-    """Pairs of different documents that stand side by side under a key; the first and last row have edge set."""
-    before, first, edge = None, None, []
+    """Every row with the nearest row of another document before and after it under its key.
+
+    Rows that may have nearer ones beyond the partition's bounds come out with edge set: those of the first
+    and of the last document in the order, and one row of another document beside them.
+    """
+    out, edges = [], set()
+    run: list = []  # rows of one document that stand together
+    other = None  # the row before them, of another document under the same key
+    first = True
+
+    def closed(after):
+        nonlocal first
+        if first or after is None:
+            edges.update(run)
+            edges.update(x for x in (other, after) if x is not None)
+        first = False
+
     for batch in batches:
-        out = []
         for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if first is None:
-                first = row
-            if before is not None and before[0] == row[0] and before[1] != row[1]:
-                out.append((row[0], before[1], before[2], row[1], row[2], False))
-            before = row
-        if out:
-            yield _pairs(out)
-    if first is not None:
-        edge = [(r[0], r[1], r[2], r[1], r[2], True) for r in {first, before}]
-        yield _pairs(edge)
+            if run and row[0] != run[-1][0]:
+                if first:
+                    closed(None)
+                run, other = [row], None
+            elif run and row[2] != run[-1][2]:
+                if first:
+                    closed(row)
+                out += [_pair(x, row) for x in run]
+                run, other = [row], run[-1]
+            else:
+                run.append(row)
+            if other is not None:
+                out.append(_pair(other, row))
+            if len(out) >= 20_000:
+                yield _pairs(out)
+                out = []
+    if run:
+        closed(None)
+    yield _pairs(out + [(k, t, i, p, i, p, True) for k, t, i, p in edges])
+
+
+def _pair(x, y):
+    (_, _, a, pa_), (_, _, b, pb) = sorted((x, y), key=lambda r: r[2])
+    return (x[0], None, a, pa_, b, pb, False)
 
 
 def _pairs(rows):
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["key", "a", "pa", "b", "pb", "edge"])
+    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_())
+    columns = list(zip(*rows)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["key", "tail", "a", "pa", "b", "pb", "edge"])
 
 
-PAIRS = "key long, a long, pa int, b long, pb int, edge boolean"
+PAIRS = "key long, tail binary, a long, pa int, b long, pb int, edge boolean"
 
 
 def extended(x: np.ndarray, y: np.ndarray, i: int, j: int) -> tuple[int, int, int]:
@@ -130,15 +225,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, min_words: int = MIN
     """doc_id, start_word, end_word, n_words, other_id: passages that another document holds too."""
     base = shared.work_dir(spark, "suffix_dedup")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    suffixes = shared.saved(texts.transform(shared.in_arrow, _suffixes, "key long, id long, pos int"), f"{base}/suffixes")
+    suffixes = shared.saved(texts.transform(shared.in_arrow, _suffixes, "key long, id long, pos int, context long"), f"{base}/suffixes")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = suffixes.repartitionByRange(n, "key", "id", "pos").sortWithinPartitions("key", "id", "pos")
-    pairs = shared.saved(ranged.transform(shared.in_arrow, _neighbours, PAIRS), f"{base}/pairs")
-    # Two rows a partition: the places where the order was cut.
-    edges = pairs.where("edge").select("key", F.col("a").alias("id"), F.col("pa").alias("pos")).coalesce(1).sortWithinPartitions("key", "id", "pos").transform(shared.in_arrow, _neighbours, PAIRS)
-    both = pairs.where("not edge").unionByName(edges.where("not edge"))
-    by_docs = shared.saved(both.groupBy("a", "b").agg(F.collect_set(F.struct("pa", "pb")).alias("places")), f"{base}/by_docs")
-    ids = shared.saved(by_docs.select(F.col("a").alias("id")).unionByName(by_docs.select(F.col("b").alias("id"))).distinct(), f"{base}/ids")
+    keys = shared.saved(suffixes.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.expr("bit_and(context) ^ bit_or(context)").alias("x")).where("a < b and x <> 0").select("key", F.expr("shiftrightunsigned(x, 32) <> 0").alias("ahead"), F.expr("x & 4294967295 <> 0").alias("back")), f"{base}/keys")
+    met = suffixes.join(shared.small_side(keys, f"{base}/keys"), "key")
+    places = shared.saved(met.groupBy("id").agg(F.collect_list(F.struct("key", "pos", "ahead", "back")).alias("places")), f"{base}/places")
+    shared.delete(spark, f"{base}/suffixes")
+    ids = shared.saved(places.select("id"), f"{base}/ids")
 
     def hashed(batches):
         for batch in batches:
@@ -146,6 +239,16 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, min_words: int = MIN
 
     words = texts.join(shared.small_side(ids, f"{base}/ids"), "id", "left_semi").transform(shared.in_arrow, hashed, "id long, h binary")
     words = shared.saved(words.dropDuplicates(["id"]), f"{base}/words")
+    tails = places.join(words.hint("merge"), "id").select("id", "places", "h").transform(shared.in_arrow, _ordered, "key long, tail binary, id long, pos int")
+    order = ["key", "tail", "id", "pos"]
+    ranged = shared.saved(tails, f"{base}/tails").repartitionByRange(n, *order).sortWithinPartitions(*order)
+    pairs = shared.saved(ranged.transform(shared.in_arrow, _neighbours, PAIRS), f"{base}/pairs")
+    shared.delete(spark, f"{base}/tails")
+    # The places where the order was cut.
+    edges = pairs.where("edge").select("key", "tail", F.col("a").alias("id"), F.col("pa").alias("pos")).coalesce(1).sortWithinPartitions(*order).transform(shared.in_arrow, _neighbours, PAIRS)
+    both = pairs.where("not edge").unionByName(edges.where("not edge"))
+    by_docs = shared.saved(both.groupBy("a", "b").agg(F.collect_set(F.struct("pa", "pb")).alias("places")), f"{base}/by_docs")
+    shared.delete(spark, f"{base}/pairs")
     left, right = (words.select(F.col("id").alias(c), F.col("h").alias(f"{c}_h")).hint("merge") for c in "ab")
     met = by_docs.join(left, "a").join(right, "b").select("a", "b", "places", "a_h", "b_h").transform(shared.in_arrow, _matches(min_words), "doc_id long, start_word long, end_word long, other_id long")
     return met.groupBy("doc_id", "start_word", "end_word").agg(F.min("other_id").alias("other_id")).withColumn("n_words", F.col("end_word") - F.col("start_word"))

@@ -20,3 +20,42 @@ def test_passages(spark, docs):
     got = {(r.doc_id, r.start_word, r.end_word) for r in repeated_passages(spark, docs(rows + [(100 + i, t, "s") for i, t in enumerate(ODD)])).collect()}
     assert got == {(k, s, s + 60) for k, s in starts.items()}
     assert repeated_passages(spark, docs([])).count() == 0
+
+
+def words(rng, n):
+    return [f"w{rng.randrange(10**9)}" for _ in range(n)]
+
+
+def test_every_occurrence(spark, docs):
+    rng = random.Random(5)
+    passage, rows, want = words(rng, 60), [], set()
+    for k, times in ((1, 3), (2, 1), (3, 2)):
+        text = []
+        for _ in range(times):
+            text += words(rng, 70)
+            want.add((k, len(text), len(text) + 60))
+            text += passage
+        rows.append((k, " ".join(text + words(rng, 30)), "s"))
+    got = {(r.doc_id, r.start_word, r.end_word) for r in repeated_passages(spark, docs(rows)).collect()}
+    assert got == want
+
+
+def test_neighbours_across_bounds():
+    """Cut anywhere, the order gives the pairs that it gives in one piece."""
+    import pyarrow as pa
+
+    from siftmill.llm.suffix_dedup import _neighbours
+
+    kinds = {"key": pa.int64(), "tail": pa.binary(), "id": pa.int64(), "pos": pa.int32()}
+
+    def run(rows):
+        out = [r for b in _neighbours([pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds.values())], names=list(kinds))]) for r in b.to_pylist()] if rows else []
+        return {(r["a"], r["pa"], r["b"], r["pb"]) for r in out if not r["edge"]}, sorted((r["key"], r["tail"], r["a"], r["pa"]) for r in out if r["edge"])
+
+    rng = random.Random(2)
+    for _ in range(200):
+        rows = sorted((rng.randrange(2), bytes([rng.randrange(3)]), rng.randrange(3), p) for p in range(12))
+        whole, cuts = run(rows)[0], sorted(rng.sample(range(13), 3))
+        parts = [run(rows[a:b]) for a, b in zip([0, *cuts], [*cuts, 12])]
+        found = set().union(*(p[0] for p in parts), run(sorted(e for p in parts for e in p[1]))[0])
+        assert whole <= found
