@@ -40,6 +40,21 @@ def test_every_occurrence(spark, docs):
     assert got == want
 
 
+def test_longest_among_almost_equal(spark, docs):
+    """Documents that share all but the first or the last word stand between those that share all."""
+    rng = random.Random(8)
+    rows, want = [], set()
+    for k in range(40):
+        p = words(rng, 50)
+        for j, part in enumerate((p, p[:49] if k % 2 else p[1:], p)):
+            head = words(rng, 30)
+            rows.append((3 * k + j, " ".join(head + part + words(rng, 30)), "s"))
+            if j != 1:
+                want.add((3 * k + j, 30, 80))
+    got = {(r.doc_id, r.start_word, r.end_word) for r in repeated_passages(spark, docs(rows)).collect()}
+    assert got == want
+
+
 def test_neighbours_across_bounds():
     """Cut anywhere, the order gives the pairs that it gives in one piece."""
     import pyarrow as pa
