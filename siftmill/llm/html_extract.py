@@ -9,8 +9,10 @@ merged before the shuffle, so a host with any share of the pages sends one small
 
 A page is then aligned with its host's wrapper.  Its scope is ``main``, else ``article``, else the body;
 inside, elements that are page furniture by tag, class, id or role go, lists of links go, and so do nodes
-that hold their template's constant text.  A page that is a copy of most others of its host would lose its
-article that way; where little is left, the constant nodes stay.
+that hold their template's constant text.  Single blocks are also told by exact counts: one whose text at most
+pages with its path of labels have there, at any place among its siblings, is template.  A page that is a copy
+of most others of its host would lose its article that way; where nothing is left, or less than 40% of a main or
+article, the constant nodes stay.
 
 Null and empty html give an empty text; so does a page of furniture only.  Pages without a usable url form
 one host of their own.  Unclosed tags, stray ends and markup inside scripts are handled as browsers do in
@@ -22,6 +24,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -230,7 +233,7 @@ def _common(a: dict, b: dict) -> dict:
     return out
 
 
-#: Kids of a wrapper node; kinds that few pages have give way beyond it.
+#: Kids of a wrapper node; kinds that few pages have give way beyond it, and are told by the counts of their texts.
 MOST_KIDS = 64
 
 
@@ -249,6 +252,31 @@ def merged(a: list, b: list) -> list:
     return [a[LABEL], a[PAGES] + b[PAGES], _common(a[TEXTS], b[TEXTS]), kids, _common(a[FIRST], b[FIRST]), _common(a[LAST], b[LAST])]
 
 
+def block_keys(body: Node) -> list[tuple[Node, int, int | None]]:
+    """(node, path, key) of every block of a page: its labels from the body on, and these with its text; no key without text."""
+    found: list[tuple[Node, int, int | None]] = []
+    out: list[str] = []
+
+    def walk(node: Node, path: int) -> None:
+        for kid in node.kids:
+            if isinstance(kid, str):
+                out.append(kid)
+            elif is_furniture(kid):
+                out.append("" if kid.tag in INLINE else " ")
+            elif kid.tag in INLINE:
+                walk(kid, path)
+            else:
+                start, own = len(out), xxh3_64_intdigest(kid.label.encode(errors="replace"), seed=path)
+                out.append(" ")
+                walk(kid, own)
+                text = _joined(out[start:])
+                out.append(" ")
+                found.append((kid, own, xxh3_64_intdigest(text.encode(errors="replace"), seed=own) if text else None))
+
+    walk(body, 0)
+    return found
+
+
 def body_of(root: Node) -> Node:
     stack = [root]
     while stack:
@@ -340,8 +368,8 @@ def _anchors(node: Node):
             yield from _anchors(k)
 
 
-def main_text(source: str, wrapper: list | None = None) -> str:
-    """The main text of one page, by its host's wrapper if there is one."""
+def main_text(source: str, wrapper: list | None = None, fixed: frozenset | set = frozenset()) -> str:
+    """The main text of one page, by its host's wrapper and the keys of its host's constant blocks, if there are any."""
     if not source:
         return ""
     body = body_of(parse(source))
@@ -351,12 +379,16 @@ def main_text(source: str, wrapper: list | None = None) -> str:
         _link_lists(s, lists)
     plain = " ".join(x for s in scopes if (x := text_of(s, lists)))
     constant = constant_nodes(body, wrapper)
+    if fixed:
+        constant |= {id(node) for node, _, key in block_keys(body) if key in fixed}
     if not constant:
         return plain
     if any(id(s) in constant for s in scopes):
         constant -= {id(s) for s in scopes}
     less = " ".join(x for s in scopes if (x := text_of(s, lists | constant)))
-    return less if len(less) >= 0.4 * len(plain) else plain
+    # Where the page marks its article, a constant one is a copy; elsewhere short articles have long templates.
+    whole = scopes == [body] or len(less) >= 0.4 * len(plain)
+    return less if less and whole else plain
 
 
 # ---- Spark ----------------------------------------------------------------
@@ -364,6 +396,8 @@ def main_text(source: str, wrapper: list | None = None) -> str:
 HOST = re.compile(r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)")
 #: Hosts whose wrappers a task holds before it hands them on.
 HELD = 2000
+#: Counts of blocks held by a task before it hands them on.
+FLUSH = 200_000
 
 
 def host_of(url: str | None) -> str:
@@ -411,37 +445,70 @@ def wrappers(pages: DataFrame) -> DataFrame:
     return part
 
 
+def constant_blocks(pages: DataFrame) -> DataFrame:
+    """(host, fixed): keys of the blocks that at least three pages and half of the host's pages with their path hold."""
+
+    def count(batches):
+        held: Counter = Counter()
+
+        def out():
+            host, path, key = zip(*held) if held else ((), (), ())
+            columns = [pa.array(host, pa.string()), *(pa.array(c, pa.uint64()).view(pa.int64()) for c in (path, key)), pa.array(held.values(), pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=["host", "path", "key", "n"])
+
+        for batch in batches:
+            for url, source in zip(batch.column(0).to_pylist(), shared.utf8_rows(batch.column(1))):
+                if len(source):
+                    host = host_of(url)
+                    found = block_keys(body_of(parse(str(source, "utf-8"))))
+                    held.update({(host, path, key) for _, path, key in found} | {(host, path, None) for _, path, _ in found})
+                if len(held) >= FLUSH:
+                    yield out()
+                    held.clear()
+        yield out()
+
+    counts = pages.select("url", "html").transform(shared.in_arrow, count, "host string, path long, key long, n long").groupBy("host", "path", "key").agg(F.sum("n").alias("n"))
+    base = shared.work_dir(pages.sparkSession, "html_blocks")
+    counts = shared.saved(counts.where("n >= 3"), base)
+    whole = counts.where("key is null").select("host", "path", F.col("n").alias("pages"))
+    common = counts.where("key is not null").join(whole, ["host", "path"]).where("n >= 0.5 * pages")
+    return common.groupBy("host").agg(F.collect_set("key").alias("fixed"))
+
+
 def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """page_id, url, text for every page."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     path = shared.work_dir(spark, "html_wrappers")
-    table = shared.saved(wrappers(pages), path)
+    table = shared.saved(wrappers(pages).join(constant_blocks(pages), "host", "left"), path)
     schema = "page_id long, url string, text string"
 
+    def known_of(wrapper, fixed):
+        return (json.loads(wrapper) if wrapper else None, {k % 2**64 for k in fixed or ()})
+
     def rows(batch, found):
-        text = [main_text(str(source, "utf-8"), w) for source, w in zip(shared.utf8_rows(batch.column(2)), found)]
+        text = [main_text(str(source, "utf-8"), *known) for source, known in zip(shared.utf8_rows(batch.column(2)), found)]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string())], names=["page_id", "url", "text"])
 
     if shared.bytes_of(spark, path) <= shared.BROADCAST_BYTES:
-        known = spark.sparkContext.broadcast(dict(table.collect()))
+        known = spark.sparkContext.broadcast({r[0]: r[1:] for r in table.collect()})
 
         def run(batches):
-            mine: dict[str, list | None] = {}
+            mine: dict[str, tuple] = {}
             for batch in batches:
                 hosts = [host_of(u) for u in batch.column(1).to_pylist()]
                 for h in set(hosts) - mine.keys():
-                    mine[h] = json.loads(known.value[h]) if h in known.value else None
+                    mine[h] = known_of(*known.value.get(h, (None, None)))
                 yield rows(batch, [mine[h] for h in hosts])
 
         return pages.transform(shared.in_arrow, run, schema)
 
     def run_joined(batches):
         for batch in batches:
-            yield rows(batch, [json.loads(w) if w else None for w in batch.column(3).to_pylist()])
+            yield rows(batch, [known_of(*x) for x in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())])
 
     host = F.pandas_udf(lambda s: s.map(host_of), "string")
     joined = pages.withColumn("h", host("url")).join(table.withColumnRenamed("host", "h").hint("merge"), "h", "left")
-    return joined.select("page_id", "url", "html", "wrapper").transform(shared.in_arrow, run_joined, schema)
+    return joined.select("page_id", "url", "html", "wrapper", "fixed").transform(shared.in_arrow, run_joined, schema)
 
 
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -188,3 +188,15 @@ def test_pipeline(spark, sf_dir):
         if k < len(corpus_pipeline.STAGES) - 1:
             assert docs.columns == columns
     assert {"doc_id", "n_tokens"} <= set(docs.columns)
+
+
+def _texts_of_host(spark, bodies):
+    rows = [(k, f"http://h.example/{k}", f"<html><body>{b}</body></html>") for k, b in enumerate(bodies)]
+    got = html_extract.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    return [r.text for r in sorted(got, key=lambda r: r.page_id)]
+
+
+def test_constant_siblings_at_any_place(spark):
+    div = lambda *x: "".join(f"<div>{t}</div>" for t in x)
+    story = [f"story {k} has short words" for k in range(6)]
+    assert _texts_of_host(spark, [div("our first line of all", "a longer note on every page", s, "buy this thing today", "the last line of all") for s in story]) == story
