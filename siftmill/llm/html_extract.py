@@ -247,8 +247,8 @@ def merged(a: list, b: list) -> list:
             kids.append(merged(a[KIDS][p], b[KIDS][q]))
         i, j = p + 1, q + 1
     if len(kids) > MOST_KIDS:
-        least = sorted((k[PAGES] for k in kids), reverse=True)[MOST_KIDS - 1]
-        kids = [k for k in kids if k[PAGES] >= least][:MOST_KIDS]
+        kept = sorted(range(len(kids)), key=lambda i: (-kids[i][PAGES], i))[:MOST_KIDS]
+        kids = [kids[i] for i in sorted(kept)]
     return [a[LABEL], a[PAGES] + b[PAGES], _common(a[TEXTS], b[TEXTS]), kids, _common(a[FIRST], b[FIRST]), _common(a[LAST], b[LAST])]
 
 

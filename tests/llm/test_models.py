@@ -200,3 +200,9 @@ def test_constant_siblings_at_any_place(spark):
     div = lambda *x: "".join(f"<div>{t}</div>" for t in x)
     story = [f"story {k} has short words" for k in range(6)]
     assert _texts_of_host(spark, [div("our first line of all", "a longer note on every page", s, "buy this thing today", "the last line of all") for s in story]) == story
+
+
+def test_constant_end_of_long_pages(spark):
+    long = ["".join(f"<h2>head {k} {i}</h2><p>text {k} {i}</p>" for i in range(50)) for k in range(6)]
+    got = _texts_of_host(spark, [b + "<ul><li>goes on every page</li></ul>" for b in long])
+    assert all("goes on every page" not in t and f"text {k} 49" in t for k, t in enumerate(got))
