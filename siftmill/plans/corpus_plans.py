@@ -108,13 +108,10 @@ def routing_counts(spark, sf_dir):
 
 
 def cross_pool_leak(spark, sf_dir):
-    """Turns of users and of assistants that are at least 0.8 similar, after an equi-join on shared words."""
+    """All pairs of a user's and an assistant's turn that are at least 0.8 similar."""
     d = table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("id"), "role", text.folded("text").alias("t"))
-    d = d.withColumn("key", F.explode(text.key_tokens("t")))
-    a, b = (d.where(F.col("role") == p).select(F.col("id").alias(f"{p}_id"), F.col("t").alias(f"{p}_t"), "key") for p in ("user", "assistant"))
-    pairs = a.join(b, "key").drop("key").dropDuplicates(["user_id", "assistant_id"])
-    near = pairs.where(dedup.may_be_similar(F.length("user_t"), F.length("assistant_t"), text.tokenize("user_t"), text.tokenize("assistant_t")))
-    return near.withColumn("ratio", F.round(dedup.sequence_ratio("user_t", "assistant_t"), 3)).where("ratio >= 0.8").select("user_id", "assistant_id", "ratio")
+    pairs = dedup.cross_pairs(*(d.where(F.col("role") == p).select("id", "t") for p in ("user", "assistant")))
+    return pairs.select(F.col("a").alias("user_id"), F.col("b").alias("assistant_id"), F.round("ratio", 3).alias("ratio")).distinct()
 
 
 def neardup_greedy(spark, sf_dir):

@@ -131,3 +131,27 @@ def test_stream_equals_table(spark, sf_dir, tmp_path):
     q.awaitTermination()
     want = sorted(map(tuple, windowed_counts(rows, time, "event_type").collect()))
     assert sorted(map(tuple, spark.table("counts").collect())) == want
+
+
+def test_cross_pool_leak_against_brute_force(spark, tmp_path):
+    import difflib
+    import random
+
+    from siftmill.plans.corpus_plans import cross_pool_leak
+
+    rng = random.Random(4)
+    texts = ["ok", "ok", "no", "no", "thanks", "thank", "", "", None, "да", "да нет", "да, нет", "你好", "你好吗", "好", "a b c d e", "a b c d f", "!?", "!?!"]
+    for _ in range(30):
+        base = [rng.choice("abcd ef日") for _ in range(rng.randrange(1, 40))]
+        for _ in range(2):
+            texts.append("".join(c for c in base if rng.random() > 0.1))
+    rows = [(k, 0, ("user", "assistant")[k % 2], t) for k, t in enumerate(texts)] + [(900, 0, "assistant", "ok"), (901, 0, "user", "thank")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    fold = lambda t: " ".join((t or "").lower().split())
+    want = set()
+    for i, _, p, x in rows:
+        for j, _, q, y in rows:
+            if (p, q) == ("user", "assistant") and (r := difflib.SequenceMatcher(None, fold(x), fold(y)).ratio()) >= 0.8:
+                want.add((f"{i}/0", f"{j}/0", round(r, 3)))
+    got = [(r.user_id, r.assistant_id, r.ratio) for r in cross_pool_leak(spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
