@@ -107,6 +107,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, min_docs: int = 10, min_cha
 
 
 def _joined(docs: DataFrame, frequent: DataFrame, min_chars: int) -> DataFrame:
+    # Rows of one key have the same doc_id (null too) and the same lines, so the same positions go.
+    own = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))).cast("binary")))
+    texts = _texts(docs).withColumn("id", own)
+
     def lines(batches):
         for batch in batches:
             row, at, key = [], [], []
@@ -114,17 +118,16 @@ def _joined(docs: DataFrame, frequent: DataFrame, min_chars: int) -> DataFrame:
                 for k, line in enumerate(bytes(text).split(b"\n")):
                     if (h := _hash_of(line, min_chars)) is not None:
                         row.append(r), at.append(k), key.append(h)
-            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(at, pa.int32()), pa.array(key, pa.binary())], names=["id", "at", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(row, pa.binary()), pa.array(at, pa.int32()), pa.array(key, pa.binary())], names=["id", "at", "key"])
 
     def rebuild(batches):
         for batch in batches:
             gone = [set(x or ()) for x in batch.column(2).to_pylist()]
             yield from _rebuilt(batch, lambda i, lines: [k in gone[i] for k in range(len(lines))])
 
-    spots = _texts(docs).transform(shared.in_arrow, lines, "id long, at int, key binary").join(frequent.hint("merge"), "key", "left_semi")
-    # A document's own lines are all that meets in one group; repeated doc_ids with other texts keep their own positions below.
+    spots = texts.select("id", "text").transform(shared.in_arrow, lines, "id binary, at int, key binary").join(frequent.hint("merge"), "key", "left_semi")
     gone = spots.groupBy("id").agg(F.collect_set("at").alias("gone"))
-    return _texts(docs).join(gone.hint("merge"), F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", "gone").transform(shared.in_arrow, rebuild, SCHEMA)
+    return texts.join(gone.hint("merge"), "id", "left").select("doc_id", "text", "gone").transform(shared.in_arrow, rebuild, SCHEMA)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

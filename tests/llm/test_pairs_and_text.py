@@ -107,3 +107,13 @@ def test_plan_keeps_recall():
 def test_shared_arrays(tmp_path):
     shared.write_array(f"file://{tmp_path}/a/b.npy", np.arange(5))
     assert shared.map_array(f"file://{tmp_path}/a/b.npy").tolist() == [0, 1, 2, 3, 4]
+
+
+def test_line_dedup_same_rows_both_ways(spark, docs):
+    """Repeated and null doc_ids lose the same lines, whichever way the keys go."""
+    rows = [(k, f"often\nown {k}", "s") for k in range(10)] + [(1, "often\nunique first", "s"), (1, "unique second\noften", "s"), (1, "unique second\noften", "s"), (None, "often\nno id", "s"), (None, "none\noften", "s"), (2, None, "s"), (2, "", "s")]
+    table = docs(rows)
+    few, many = (sorted(line_dedup.line_dedup(spark, table, broadcast_keys=n).collect(), key=str) for n in (400_000, 0))
+    assert few == many
+    assert sorted(r.kept_text for r in many if r.doc_id is None) == ["no id", "none"]
+    assert len(many) == len(rows)
