@@ -46,9 +46,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix takes them; their columns go along as one, so no name can clash."""
+    """The documents as often as the mix takes them, by shard and in order there; their columns go along as one, so no name can clash."""
     rows = mixing.sized(docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("document"))).drop("text")
-    return mixing.copies(mixing.mix(spark, rows)).select("document.*")
+    return mixing.in_shards(mixing.mix(spark, rows)).select("document.*")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

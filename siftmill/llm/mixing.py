@@ -139,6 +139,12 @@ def copies(mixed: DataFrame) -> DataFrame:
     return mixed.withColumn("p", F.explode("placements")).withColumns({"shard": F.col("p.shard"), "order": F.col("p.order")}).drop("p", "placements")
 
 
+def in_shards(mixed: DataFrame) -> DataFrame:
+    """``copies`` by shard, in order within each: over all partitions, so a large shard is several tasks'."""
+    n = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return copies(mixed).repartitionByRange(n, "shard", "order").sortWithinPartitions("shard", "order")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     rows = shared.saved(sized(docs).drop("text"), shared.work_dir(spark, "mixing-sizes"))

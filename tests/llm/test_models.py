@@ -206,3 +206,14 @@ def test_constant_end_of_long_pages(spark):
     long = ["".join(f"<h2>head {k} {i}</h2><p>text {k} {i}</p>" for i in range(50)) for k in range(6)]
     got = _texts_of_host(spark, [b + "<ul><li>goes on every page</li></ul>" for b in long])
     assert all("goes on every page" not in t and f"text {k} 49" in t for k, t in enumerate(got))
+
+
+def test_mix_is_written_in_shard_order(spark, docs):
+    d = docs([f"text {k} " * (1 + k % 5) for k in range(900)])
+    rows = mixing.sized(d).drop("text")
+    place = defaultdict(list)
+    for r in mixing.copies(mixing.mix(spark, rows)).collect():
+        place[r.doc_id].append((r.shard, r.order))
+    got = [r.doc_id for r in corpus_pipeline.mix_sources(spark, d, "").collect()]
+    assert Counter(got) == Counter({k: len(v) for k, v in place.items()})
+    assert got == [k for _, k in sorted((p, k) for k, v in place.items() for p in v)]
