@@ -8,12 +8,15 @@ times.  Candidates are confirmed on full sets, and confirmed links are joined to
 
 Nodes that stay large hold true groups of near copies.  They are first joined through leaders: a row that
 is like a leader is linked to it and to no other, block by block, so a group of n near copies makes about
-n candidates.  After these links are confirmed, every pair of rows in a node that is still in different
-components is compared, so no link is lost to the short cut.
+n candidates.  After these links are confirmed, rows of large nodes are dealt to blocks anew and compared
+across components; at last every pair of rows in a node that is still in different components is compared,
+so no link is lost to the short cuts.
 
 Null, empty and white-space-only texts have an empty set and link with nothing.  A text of fewer than
-``width`` words is one shingle.  Repeated rows are members of the same class.  An empty table gives no
-rows.  Words are bytes of UTF-8 between ASCII white space, with A-Z lower-cased.
+``width`` words is one shingle.  Repeated rows are members of the same class.  A row without a doc_id is
+a member of the class of its equals, which it never stands for; alone it has no component and is kept.
+Only doc_id and text are read, so other columns may have any name.  An empty table gives no rows.  Words
+are bytes of UTF-8 between ASCII white space, with A-Z lower-cased.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ COORDINATES = 128
 #: Sketches that agree on less than threshold - SLACK are no candidates: more than four standard errors at 128 coordinates.
 SLACK = 0.13
 SMALL, BLOCK = 64, 256
+#: Times that the rows of a large node are dealt to blocks before blocks of different components are compared.
+DEALS = 2
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _FOLD = np.uint64(0xD6E8FEB86659FD93)
@@ -131,46 +136,39 @@ class _Like:
         return fits & ((self.shorts[a] == self.shorts[b]).mean(axis=-1) >= self.least)
 
 
-def _leaders(rows: np.ndarray, like: _Like) -> tuple[list, list, list]:
+def _leaders(rows: np.ndarray, like: _Like) -> tuple[list, list]:
     """Each row, in order, is linked to the first leader that it is like, or leads itself."""
-    a, b, lead = [], [], []
-    while len(rows):
-        lead.append(rows[0])
+    a, b = [], []
+    while len(rows) > 1:
         rest = rows[1:]
-        if not len(rest):
-            break
         ok = like(rows[0], rest)
         b.extend(rest[ok].tolist())
         a.extend([rows[0]] * int(ok.sum()))
         rows = rest[~ok]
-    return a, b, lead
+    return a, b
 
 
 def _led(batches, threshold: float):
-    """Round one: (node, a, b) for a row like its leader; a = b for the leaders of a block of a large node."""
+    """Round one: (a, b) for a row like its leader, in a small node or in a block of a large one."""
     for t in _runs(batches, 2):
-        node, slot, ids, n = (t.column(k).to_numpy() for k in range(4))
-        like = _Like(t.column(4).to_numpy(), _matrix(t.column(5), np.uint8, COORDINATES), threshold)
+        node, slot, ids = (t.column(k).to_numpy() for k in range(3))
+        like = _Like(t.column(3).to_numpy(), _matrix(t.column(4), np.uint8, COORDINATES), threshold)
         cuts = np.flatnonzero((node[1:] != node[:-1]) | (slot[1:] != slot[:-1])) + 1
         starts, stops = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(node)]])
         pair = starts[(stops - starts) == 2]
         ok = like(pair, pair + 1) if len(pair) else np.empty(0, bool)
         a, b = pair[ok].tolist(), (pair[ok] + 1).tolist()
-        large = n > SMALL
         for s, e in zip(starts.tolist(), stops.tolist()):
-            if e - s > 2 or large[s]:
-                x, y, lead = _leaders(np.arange(s, e), like)
+            if e - s > 2:
+                x, y = _leaders(np.arange(s, e), like)
                 a += x
                 b += y
-                if large[s]:
-                    a += lead
-                    b += lead
         a, b = np.array(a, np.int64), np.array(b, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(ids[a]), pa.array(ids[b])], names=["node", "a", "b"])
 
 
 def _crossed(batches, threshold: float, pct: int):
-    """Round two: confirmed (a, b) between different components, in a node or between two blocks of one.
+    """Confirmed (a, b) between different components, in a block of a node or between two of them, with these components.
 
     Likeliest pairs come first, and a pair whose components have been joined meanwhile needs no look, so a
     task gives back at most one link for each component that it joins, whatever the number of pairs.
@@ -187,7 +185,7 @@ def _crossed(batches, threshold: float, pct: int):
         like = _Like(t.column(6).to_numpy(), _matrix(t.column(7), np.uint8, COORDINATES), threshold)
         found = shared.utf8_rows(t.column(8))
         cuts = np.flatnonzero((node[1:] != node[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-        a, b = [], []
+        a, b, c, d = [], [], [], []
         for s, e in zip(np.concatenate([[0], cuts]).tolist(), np.concatenate([cuts, [len(node)]]).tolist()):
             now = np.array([root(c) for c in comp[s:e].tolist()])
             if (now == now[0]).all():
@@ -206,10 +204,10 @@ def _crossed(batches, threshold: float, pct: int):
                         continue
                     other = np.frombuffer(found[o], np.uint64)
                     if _similar(mine, other, pct):
-                        a.append(int(ids[r])), b.append(int(ids[o]))
+                        a.append(int(ids[r])), b.append(int(ids[o])), c.append(int(now[r - s])), d.append(int(now[o - s]))
                         joined[int(now[o - s])] = int(now[r - s])
                         now[now == now[o - s]] = now[r - s]
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, c, d)], names=["a", "b", "c", "d"])
 
 
 def _similar(x: np.ndarray, y: np.ndarray, pct: int) -> bool:
@@ -285,10 +283,10 @@ class ChosenPathJoin:
     def _with_short(self, rows: DataFrame) -> DataFrame:
         return rows.join(self.reps.select("id", "n", "short").hint("merge"), "id")
 
-    def lead(self, rows: DataFrame) -> DataFrame:
+    def lead(self) -> DataFrame:
         threshold = self.threshold
         slot = F.when(F.col("size") > SMALL, F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK).cast("long"))).otherwise(F.lit(0).cast("long"))
-        full = self._with_short(rows.withColumn("slot", slot)).select("node", "slot", "id", "size", "n", "short")
+        full = self._with_short(self.nodes.withColumn("slot", slot)).select("node", "slot", "id", "n", "short")
         return full.repartition("node", "slot").sortWithinPartitions("node", "slot", "id").transform(shared.in_arrow, lambda b: _led(b, threshold), "node long, a long, b long")
 
     def sets(self, ids: DataFrame, path: str) -> DataFrame:
@@ -324,14 +322,8 @@ class ChosenPathJoin:
 
     def links(self) -> tuple[DataFrame, DataFrame]:
         """Confirmed links, enough to join what is similar, and the components of their ends."""
-        led = shared.saved(self.lead(self.nodes), f"{self.base}/led")
-        blocks = led.where("a = b").select("node", F.col("a").alias("id")).distinct()
-        again = self.lead(blocks.withColumn("size", F.lit(2).cast("long"))).where("a <> b") if blocks.limit(1).count() else None
-        led = led.where("a <> b")
-        if again is not None:
-            led = led.unionByName(shared.saved(again, f"{self.base}/led-again"))
-        tried = led.select("a", "b").distinct()
-        links = self.confirmed(tried, "led")
+        led = shared.saved(self.lead(), f"{self.base}/led")
+        links = self.confirmed(led.select("a", "b").distinct(), "led")
         groups = connected_components(self.spark, links)
         more = self.crossing(led, groups)
         if not more.limit(1).count():
@@ -340,25 +332,78 @@ class ChosenPathJoin:
         return links, connected_components(self.spark, links)
 
     def crossing(self, led: DataFrame, groups: DataFrame) -> DataFrame:
-        """Confirmed links between different components in nodes where a row was set aside for its leader."""
-        threshold, pct, path = self.threshold, self.pct, f"{self.base}/crossing"
+        """Confirmed links between different components of a node: every such pair is compared, or joined before its turn.
+
+        A node needs no look if leaders have joined it, or if it is small and none of its rows was set aside for
+        a leader.  Rows of large nodes are dealt to blocks by changing hashes ``DEALS`` times and compared there,
+        which joins a group of near copies at the cost of a few rows each.  What is still apart afterwards is cut
+        into blocks of one component each, the small ones together, and only blocks of different components meet:
+        a component of n rows and k others make about n + k * n / BLOCK rows.
+        """
+        path = f"{self.base}/crossing"
         touched = led.select(F.col("node").alias("at")).distinct()
-        members = self.nodes.distinct().join(touched.hint("merge"), F.col("node") == F.col("at"), "left_semi")
+        small = self.nodes.where(F.col("size") <= SMALL).join(touched.hint("merge"), F.col("node") == F.col("at"), "left_semi")
+        members = self.nodes.where(F.col("size") > SMALL).unionByName(small).distinct()
         labelled = members.join(groups.select(F.col("id").alias("of"), "component_id").hint("merge"), F.col("id") == F.col("of"), "left").select("node", "size", "id", F.coalesce("component_id", "id").alias("comp"))
-        labelled = shared.saved(labelled, f"{path}-labelled")
-        # Trees meet the same rows again and again: of nodes with equal members one is looked at.
-        nodes = labelled.groupBy("node").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.bit_xor(F.xxhash64("id")).alias("sig"), F.sum("id").alias("total"), F.count("*").alias("members")).where("x <> y")
-        nodes = nodes.groupBy("sig", "total", "members").agg(F.min("node").alias("at")).select("at")
-        rows = shared.saved(labelled.join(nodes.hint("merge"), F.col("node") == F.col("at"), "left_semi"), f"{path}-rows")
+        rows = self._apart(labelled, f"{path}-rows")
         full = self.sets(rows.select("id"), path)
-        blocks = F.when(F.col("size") > SMALL, F.ceil(F.col("size") / BLOCK)).otherwise(1).cast("long")
-        cut = rows.withColumn("slot", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-        cut = cut.select("node", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"), (F.col("slot") > F.col("other")).cast("long").alias("side"), "id", "comp")
-        whole = self._with_short(cut).join(full.hint("merge"), "id").select("node", "i", "j", "side", "id", "comp", "n", "short", "found")
-        links = whole.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j", "id").transform(shared.in_arrow, lambda b: _crossed(b, threshold, pct), "a long, b long")
-        links = shared.saved(links.distinct(), f"{path}-links")
+        links: list[DataFrame] = []
+        for k in range(1, DEALS + 1):
+            large = rows.where(F.col("size") > SMALL)
+            if not large.limit(1).count():
+                break
+            block = F.pmod(F.xxhash64(F.lit(k), "id"), F.ceil(F.col("size") / BLOCK).cast("long"))
+            dealt = large.select("node", block.alias("i"), block.alias("j"), F.lit(0).cast("long").alias("side"), "id", "comp")
+            links.append(self._compared(dealt, full, f"{path}-dealt{k}"))
+            if not links[-1].limit(1).count():
+                break
+            joined = connected_components(self.spark, links[-1], "c", "d").select(F.col("id").alias("of"), F.col("component_id").alias("now"))
+            rows = self._apart(rows.join(joined.hint("merge"), F.col("comp") == F.col("of"), "left").select("node", "size", "id", F.coalesce("now", "comp").alias("comp")), f"{path}-rows{k}")
+        links.append(self._compared(self._cut(rows, path), full, f"{path}-cut"))
         shared.delete(self.spark, f"{path}-sets")
-        return links
+        out = links[0]
+        for more in links[1:]:
+            out = out.unionByName(more)
+        return out.select("a", "b")
+
+    def _apart(self, labelled: DataFrame, path: str) -> DataFrame:
+        """The rows of nodes that hold more than one component; trees meet the same rows again and again, so of nodes with equal members one."""
+        labelled = shared.saved(labelled, f"{path}-labelled")
+        nodes = labelled.groupBy("node").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.bit_xor(F.xxhash64("id")).alias("sig"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("sig2"), F.count("*").alias("members")).where("x <> y")
+        nodes = nodes.groupBy("sig", "sig2", "members").agg(F.min("node").alias("at")).select("at")
+        rows = shared.saved(labelled.join(nodes.hint("merge"), F.col("node") == F.col("at"), "left_semi"), path)
+        shared.delete(self.spark, f"{path}-labelled")
+        return rows
+
+    def _cut(self, rows: DataFrame, path: str) -> DataFrame:
+        """(node, i, j, side, id, comp): every row once for each block that its block is compared with."""
+        zero = F.lit(0).cast("long")
+        small = rows.where(F.col("size") <= SMALL).select("node", zero.alias("i"), zero.alias("j"), zero.alias("side"), "id", "comp")
+        large = rows.where(F.col("size") > SMALL)
+        if not large.limit(1).count():
+            return small
+        # A unit is a component of a block's size or more, or all the smaller ones of a node: unit 0.
+        parts = large.groupBy("node", "comp").agg(F.count("*").alias("c")).withColumn("u", F.when(F.col("c") >= BLOCK, F.xxhash64("comp")).otherwise(0))
+        parts = shared.saved(parts, f"{path}-parts")
+        units = shared.saved(parts.groupBy("node", "u").agg(F.ceil(F.sum("c") / BLOCK).cast("long").alias("blocks")), f"{path}-units")
+        mine = units.select("node", "u", F.col("blocks").alias("own"))
+        other = units.select(F.col("node").alias("at"), F.col("u").alias("v"), F.col("blocks").alias("theirs"))
+        meets = mine.join(other.hint("merge"), (F.col("node") == F.col("at")) & ((F.col("u") != F.col("v")) | (F.col("u") == 0)))
+        meets = shared.saved(meets.select(F.col("node").alias("at"), F.col("u").alias("unit"), "v", "own", "theirs"), f"{path}-meets")
+        placed = large.join(parts.select(F.col("node").alias("pn"), F.col("comp").alias("pc"), "u").hint("merge"), (F.col("node") == F.col("pn")) & (F.col("comp") == F.col("pc")))
+        placed = placed.select("node", "u", "id", "comp").join(meets.hint("merge"), (F.col("node") == F.col("at")) & (F.col("u") == F.col("unit")))
+        placed = placed.withColumn("slot", F.pmod(F.xxhash64("id"), F.col("own"))).withColumn("facing", F.explode(F.sequence(zero, F.col("theirs") - 1)))
+        first = F.struct(F.col("u"), F.col("slot")) <= F.struct(F.col("v").alias("u"), F.col("facing").alias("slot"))
+        near, far = F.xxhash64("u", "slot"), F.xxhash64("v", "facing")
+        cut = placed.select("node", F.when(first, near).otherwise(far).alias("i"), F.when(first, far).otherwise(near).alias("j"), F.when(first, 0).otherwise(1).cast("long").alias("side"), "id", "comp")
+        return small.unionByName(cut)
+
+    def _compared(self, cut: DataFrame, full: DataFrame, path: str) -> DataFrame:
+        """Links (a, b) found in blocks, with the components (c, d) that they join."""
+        threshold, pct = self.threshold, self.pct
+        whole = self._with_short(cut).join(full.hint("merge"), "id").select("node", "i", "j", "side", "id", "comp", "n", "short", "found")
+        links = whole.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j", "id").transform(shared.in_arrow, lambda b: _crossed(b, threshold, pct), "a long, b long, c long, d long")
+        return shared.saved(links.distinct(), path)
 
     def result(self) -> DataFrame:
         """doc_id, n_shingles, component_id, kept: one row per row of the table."""
@@ -368,7 +413,7 @@ class ChosenPathJoin:
         by_class = self.classes.join(groups.withColumnRenamed("id", "of").hint("merge"), F.col("id") == F.col("of"), "left").select(F.col("key").alias("k"), F.coalesce("component_id", "id").alias("component_id"))
         rows = self.sketched.select("doc_id", "n", "key").join(by_class.hint("merge"), F.col("key") == F.col("k"), "left")
         component = F.coalesce("component_id", "doc_id")
-        return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+        return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, threshold_pct: int = 85, width: int = 5, trees: int = 10) -> DataFrame:

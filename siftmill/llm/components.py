@@ -21,7 +21,7 @@ def connected_components(spark: SparkSession, edges: DataFrame, a: str = "a", b:
     """Rows ``(id, component_id)`` for every end of an edge; component_id is the smallest id reachable.
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014), each written to the shared
-    folder, until a round changes nothing.  Nothing but two sums comes to the driver.  Self-loops and
+    folder, until a round changes nothing.  Nothing but a count and two digests of the table comes to the driver.  Self-loops and
     repeated edges are harmless; null ends are left out; an empty table gives an empty result.
     """
     base = shared.work_dir(spark, "components")
@@ -33,7 +33,7 @@ def connected_components(spark: SparkSession, edges: DataFrame, a: str = "a", b:
         joined = _joined(large)
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         e = shared.saved(small, f"{base}/{k}")
-        now = tuple(e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum("v")).first())
+        now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64(F.lit(1), "u", "v"))).first())
         shared.delete(spark, old)
         old = f"{base}/{k}"
         if now == before or not now[0]:

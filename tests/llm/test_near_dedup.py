@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from siftmill.llm.chosen_path import near_dedup, shingles
+from siftmill.llm.chosen_path import ChosenPathJoin, near_dedup, shingles
 from siftmill.llm.components import connected_components
 
 from .conftest import ODD
@@ -82,3 +82,55 @@ def test_components(spark):
     got = {r.id: r.component_id for r in connected_components(spark, spark.createDataFrame([*edges, (None, 3)], "a long, b long")).collect()}
     assert got == {x: find(x) for x in parent}
     assert connected_components(spark, spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_large_and_missing_ids(spark, docs):
+    texts = ["a b c d e f g", "a b c d e f g", "p q r s t u v", "p q r s t u v", "m n o p q r s"]
+    ids = [2**62 + 5, 2**62 + 9, -(2**63), None, None]
+    got = {(r.doc_id, r.component_id, r.kept) for r in near_dedup(spark, docs([(i, t, "s") for i, t in zip(ids, texts)])).collect()}
+    assert got == {(2**62 + 5, 2**62 + 5, True), (2**62 + 9, 2**62 + 5, False), (-(2**63), -(2**63), True), (None, -(2**63), False), (None, None, True)}
+
+
+def test_large_ids_in_groups(spark, docs):
+    rng = random.Random(3)
+    base = [f"b{rng.randrange(5000)}" for _ in range(120)]
+    rows = [(2**62 + 7919 * k, edited(rng, base, rng.randrange(0, 5))) for k in range(90)]
+    check(spark, docs, rows, 85)
+
+
+def _crossing_rows(spark, docs, monkeypatch, n):
+    """Rows that the last comparison of a group of n near copies and some outliers sorts and joins."""
+    rng = random.Random(8)
+    base = [f"b{rng.randrange(9000)}" for _ in range(200)]
+    rows = [(k, edited(rng, base, rng.randrange(0, 4))) for k in range(n)]
+    rows += [(100_000 + k, edited(rng, base, 12)) for k in range(40)]  # like the group, but below the threshold
+    made = []
+    compared = ChosenPathJoin._compared
+
+    def counted(self, cut, full, path):
+        made.append(cut.count())
+        return compared(self, cut, full, path)
+
+    monkeypatch.setattr(ChosenPathJoin, "_compared", counted)
+    near_dedup(spark, docs([(i, t, "s") for i, t in rows]), threshold_pct=85, trees=3).count()
+    monkeypatch.undo()
+    return sum(made)
+
+
+def test_crossing_grows_with_the_group_and_not_its_square(spark, docs, monkeypatch):
+    one, two = (_crossing_rows(spark, docs, monkeypatch, n) for n in (700, 1400))
+    assert 0 < one and two <= 2.4 * one
+
+
+def test_recall_at_the_threshold(spark, docs):
+    """Pairs that just reach 85: the trees must find nine of ten at least."""
+    rows = []
+    for k in range(400):
+        words = [f"q{k}_{x}" for x in range(104)]  # 100 shingles; 8 of them go and 8 come: 92 / 108 = 0.852
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[8:], *(f"z{k}_{x}" for x in range(8))]))]
+    want = brute(rows[:40], 85)
+    assert all(want[2 * k][1] == want[2 * k + 1][1] for k in range(20))
+    got = {r.doc_id: r.component_id for r in near_dedup(spark, docs([(i, t, "s") for i, t in rows]), threshold_pct=85).collect()}
+    found = sum(got[2 * k + 1] == 2 * k for k in range(400)) / 400
+    print("recall at the threshold", found)
+    assert found >= 0.9
