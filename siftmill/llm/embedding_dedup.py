@@ -9,9 +9,11 @@ of blocks is a task's work, so that no task holds a whole bucket.  Pairs are nev
 returns for each of its vectors the links found and one edge of a spanning forest.  A pair that meets in
 several tables counts in the first of them.
 
-Vectors that are null, empty, zero or hold a null or non-finite component link with nothing.  Vectors of
-different lengths do not link.  Repeated rows are members of one class and link with each other.  An empty
-table gives no rows.
+Every vector is compared on its own scale, a power of two, so components of any magnitude neither vanish nor
+overflow.  Vectors that are null, empty, zero or hold a null or non-finite component link with nothing, and
+neither do rows without an id, which have no component and are kept.  Vectors of different lengths do not
+link.  Repeated rows are members of one class and link with each other.  Only the id and the vector are read,
+so other columns may have any name.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,12 +24,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from . import shared
 from .chosen_path import _runs
 from .components import connected_components
 
-BLOCK, PER_BUCKET, RECALL, SEED = 512, 64, 0.9995, 20
+BLOCK, PER_BUCKET, RECALL, SEED = 1024, 512, 0.9995, 20
 
 
 def plan(n: int, threshold: float, recall: float = RECALL) -> tuple[int, int]:
@@ -47,32 +50,47 @@ def codes(x: np.ndarray, tables: int, bits: int) -> np.ndarray:
     return signs @ (1 << np.arange(bits, dtype=np.int64))
 
 
+def number_type(vectors: DataFrame, vec_col: str) -> str:
+    """How components are held: as 32 bits where the column has these, else as doubles; cosines are in doubles."""
+    return "<f4" if isinstance(vectors.schema[vec_col].dataType.elementType, FloatType) else "<f8"
+
+
 def _packed(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """id and the vector's doubles as bytes; null where it links with nothing."""
+    """id and the vector's components as bytes; null where it links with nothing."""
+    kind = number_type(vectors, vec_col)
 
     def run(batches):
         for batch in batches:
             out = []
-            for v in batch.column(1):
-                x = v.values.to_numpy(zero_copy_only=False) if v.is_valid and v.values.null_count == 0 else np.empty(0)
-                out.append((x + 0.0).tobytes() if len(x) and np.isfinite(x).all() and x.any() else None)
+            for i, v in zip(batch.column(0), batch.column(1)):
+                x = v.values.to_numpy(zero_copy_only=False) if i.is_valid and v.is_valid and v.values.null_count == 0 else np.empty(0)
+                out.append((x + 0.0).astype(kind).tobytes() if len(x) and np.isfinite(x).all() and x.any() else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "vec"])
 
     return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).transform(shared.in_arrow, run, "id long, vec binary")
 
 
-def _hashed(threshold: float, tables: int, bits: int):
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Doubles with each row's largest component between 1/2 and 1; dividing by a power of two is exact."""
+    x = x.astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
+def _code_type(bits: int) -> str:
+    return next(f"<u{k}" for k in (1, 2, 4, 8) if bits <= 8 * k)
+
+
+def _hashed(kind: str, tables: int, bits: int):
     def run(batches):
         for batch in batches:
             vecs = shared.utf8_rows(batch.column(1))
-            widths = np.array([len(v) // 8 for v in vecs])
+            widths = np.array([len(v) for v in vecs]) // np.dtype(kind).itemsize
             for w in np.unique(widths):
                 at = np.flatnonzero(widths == w)
                 for part in np.array_split(at, max(1, len(at) // 1000)):
-                    x = np.frombuffer(b"".join(vecs[i] for i in part), np.float64).reshape(len(part), w)
-                    # Each row on its own scale: one row's product does not depend on which rows stand beside it.
-                    code = codes(x / np.abs(x).max(axis=1, keepdims=True), tables, bits)
-                    signature = pa.array([c.astype("<u4" if bits <= 32 else "<u8").tobytes() for c in code], pa.binary())
+                    x = np.frombuffer(b"".join(vecs[i] for i in part), kind).reshape(len(part), w)
+                    code = codes(scaled(x), tables, bits)
+                    signature = pa.array([c.astype(_code_type(bits)).tobytes() for c in code], pa.binary())
                     own = batch.take(pa.array(part))
                     for t in range(tables):
                         bucket = (code[:, t] * 4096 + t) * 65536 + w
@@ -99,9 +117,9 @@ def _forest(adjacent: np.ndarray) -> np.ndarray:
     return parent
 
 
-def _linked(batches, threshold: float, bits: int):
+def _linked(batches, threshold: float, kind: str, bits: int):
     """Rows (bucket, i, j, side, ...) -> (id, other, n): links counted for id in this block pair, and an edge."""
-    wide = "<u4" if bits <= 32 else "<u8"
+    wide = _code_type(bits)
     for t in _runs(batches, 3):
         bucket, bi, bj, side, ids, copies = (t.column(k).to_numpy() for k in range(6))
         vecs, sigs = shared.utf8_rows(t.column(6)), shared.utf8_rows(t.column(7))
@@ -111,7 +129,7 @@ def _linked(batches, threshold: float, bits: int):
             if e - s < 2:
                 continue
             table = int(bucket[s]) // 65536 % 4096
-            x = np.frombuffer(b"".join(vecs[s:e]), np.float64).reshape(e - s, -1)
+            x = scaled(np.frombuffer(b"".join(vecs[s:e]), kind).reshape(e - s, -1))
             norm = np.sqrt(np.einsum("ij,ij->i", x, x))
             code = np.frombuffer(b"".join(sigs[s:e]), wide).reshape(e - s, -1)
             near = x @ x.T >= threshold * norm[:, None] * norm[None, :]
@@ -136,15 +154,15 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, threshold: float = 0.9
     base = shared.work_dir(spark, "embedding_dedup")
     rows = shared.saved(_packed(vectors, id_col, vec_col), f"{base}/rows")
     classes = shared.saved(rows.where("vec is not null").groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("copies")), f"{base}/classes")
-    n = classes.count()
+    n, kind = classes.count(), number_type(vectors, vec_col)
     bits, tables = plan(n, threshold, recall)
-    hashed = shared.saved(classes.select("id", "vec", "copies").transform(shared.in_arrow, _hashed(threshold, tables, bits), "bucket long, id long, copies long, vec binary, sig binary"), f"{base}/hashed")
+    hashed = shared.saved(classes.select("id", "vec", "copies").transform(shared.in_arrow, _hashed(kind, tables, bits), "bucket long, id long, copies long, vec binary, sig binary"), f"{base}/hashed")
     sizes = shared.saved(hashed.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK), f"{base}/sizes")
     sized = hashed.join(shared.small_side(sizes, f"{base}/sizes"), "bucket", "left")
     blocks = F.coalesce(F.ceil(F.col("size") / BLOCK).cast("long"), F.lit(1).cast("long"))
     cut = sized.withColumn("slot", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     cut = cut.select("bucket", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"), (F.col("slot") > F.col("other")).cast("long").alias("side"), "id", "copies", "vec", "sig")
-    found = cut.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").transform(shared.in_arrow, lambda b: _linked(b, threshold, bits), "id long, other long, n long")
+    found = cut.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").transform(shared.in_arrow, lambda b: _linked(b, threshold, kind, bits), "id long, other long, n long")
     found = shared.saved(found, f"{base}/found")
     shared.delete(spark, f"{base}/hashed")
     groups = connected_components(spark, found.select("id", "other").distinct(), "id", "other")
@@ -153,7 +171,7 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, threshold: float = 0.9
     by_class = by_class.select(F.col("vec").alias("of"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     out = rows.join(by_class.hint("merge"), F.col("vec") == F.col("of"), "left")
     component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("id")).alias("kept"))
+    return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
