@@ -5,11 +5,16 @@
 2. A streaming aggregation over the arrivals keeps, per digest, how many texts have it and which row
    stays.  Its state is in RocksDB under the query's checkpoint, without a watermark, so nothing is
    ever forgotten; partial aggregation sends one row per digest and task, whatever the group's size.
-3. On hits (a digest met more than once) the full bytes are compared: the normalised texts of those
-   digests are grouped by their bytes.  Should two texts share a digest, each text becomes a group.
+3. On hits (a digest met more than once) the full bytes are compared: the locators of these digests lead
+   back to the texts, which are grouped by their bytes.  Should two texts share a digest, each text becomes
+   a group.
+
+Where a job ends after any ingest, another one on the same folder goes on: row numbers follow from the written
+arrivals, and of a digest's states the last batch's counts.
 
 Null and empty texts are equal to each other and to texts of white space only.  A row that repeats both
-doc_id and text is one more copy: one of the rows stays.  An empty table gives no rows.
+doc_id and text is one more copy: one of the rows stays.  A row without a doc_id comes after all others of its
+length.  Only doc_id and text are read, so other columns may have any name.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ def sha256(data: bytes) -> bytes:
     return hashlib.sha256(data).digest()
 
 
-def digested(docs: DataFrame, with_text: bool = False, digest=sha256) -> DataFrame:
+def digested(docs: DataFrame, with_text: bool = False, digest=sha256, file: F.Column | None = None) -> DataFrame:
     """doc_id, locator, digest, n_code (and the normalised text) of each row."""
     schema = "doc_id long, file string, digest binary, n_code int" + ", norm binary" * with_text
 
@@ -46,12 +51,13 @@ def digested(docs: DataFrame, with_text: bool = False, digest=sha256) -> DataFra
             names = ["doc_id", "file", "digest", "n_code"] + ["norm"] * with_text
             yield pa.RecordBatch.from_arrays(out + [pa.array(norm, pa.binary())] * with_text, names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.input_file_name().alias("file"), F.col("text").cast("string").alias("text")).transform(shared.in_arrow, run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.input_file_name() if file is None else file).alias("file"), F.col("text").cast("string").alias("text")).transform(shared.in_arrow, run, schema)
 
 
 def _stays() -> F.Column:
     """The row that stays: most code points, then smallest doc_id, then first row."""
-    return F.max(F.struct("n_code", (-F.col("doc_id")).alias("neg_id"), (-F.col("row")).alias("neg_row"), "file")).alias("best")
+    # As a decimal the least long can be turned over too.
+    return F.max(F.struct("n_code", (-F.col("doc_id").cast("decimal(20,0)")).alias("neg_id"), (-F.col("row")).alias("neg_row"), "file")).alias("best")
 
 
 class StreamingDedup:
@@ -59,13 +65,20 @@ class StreamingDedup:
 
     def __init__(self, spark: SparkSession, folder: str | None = None, digest=sha256):
         self.spark, self.folder, self.digest = spark, folder or shared.work_dir(spark, "exact_dedup"), digest
-        self.arrived = 0
+
+    def _next(self) -> int:
+        """The number of the next ingest: arrivals hold those of all before, also of other jobs."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/arrivals")
+        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return 0
+        last = self.arrivals().agg(F.max("row")).first()[0]
+        return 0 if last is None else (last >> 52) + 1
 
     def ingest(self, docs: DataFrame) -> None:
         """Append the arrivals of ``docs`` and bring the keyed state up to date."""
-        arrivals = digested(docs, digest=self.digest).withColumn("row", F.monotonically_increasing_id() + F.lit(self.arrived << 52))
+        arrivals = digested(docs, digest=self.digest).withColumn("row", F.monotonically_increasing_id() + F.lit(self._next() << 52))
         arrivals.write.mode("append").parquet(f"{self.folder}/arrivals")
-        self.arrived += 1
         own = self.spark.newSession()
         own.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
         # A state partition's files take what they hold, not what the store would set aside in advance.
@@ -90,9 +103,9 @@ class StreamingDedup:
 
     def groups(self) -> DataFrame:
         """The state after the last update of each digest: digest, n, best."""
-        schema = "digest binary, n long, best struct<n_code:int,neg_id:long,neg_row:long,file:string>, batch int"
+        schema = "digest binary, n long, best struct<n_code:int,neg_id:decimal(20,0),neg_row:long,file:string>, batch int"
         state = self.spark.read.schema(schema).parquet(f"{self.folder}/state")
-        if self.arrived == 1:  # one update: each digest is there once
+        if state.select("batch").distinct().count() <= 1:  # one update: each digest is there once
             return state.drop("batch")
         return state.groupBy("digest").agg(F.max_by("n", "batch").alias("n"), F.max_by("best", "batch").alias("best"))
 
@@ -103,7 +116,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, digest=sha256) -> DataFram
     job.ingest(docs)
     arrivals, groups = job.arrivals(), job.groups()
     hits = shared.saved(groups.where("n > 1").select("digest"), f"{job.folder}/hits")
-    sure = shared.saved(_compared(docs, shared.small_side(hits, f"{job.folder}/hits"), digest), f"{job.folder}/compared")
+    where = arrivals.join(shared.small_side(hits, f"{job.folder}/hits"), "digest", "left_semi").select(F.col("file").alias("at_file"), F.col("doc_id").alias("at_id")).distinct()
+    where = shared.saved(where, f"{job.folder}/located")
+    sure = shared.saved(_compared(_located(docs, shared.small_side(where, f"{job.folder}/located")), shared.small_side(hits, f"{job.folder}/hits"), digest), f"{job.folder}/compared")
     clashes = sure.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1")
     found = _decided(arrivals, groups)
     if clashes.limit(1).count():
@@ -111,13 +126,19 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, digest=sha256) -> DataFram
     return found
 
 
+def _located(docs: DataFrame, where: DataFrame) -> DataFrame:
+    """The rows at some locators."""
+    rows = docs.select("doc_id", "text", F.input_file_name().alias("in_file"))
+    return rows.join(where, (F.col("in_file") == F.col("at_file")) & F.col("doc_id").cast("long").eqNullSafe(F.col("at_id")), "left_semi")
+
+
 def _compared(docs: DataFrame, hits: DataFrame, digest) -> DataFrame:
     """Texts of the digests that were hit, grouped by their full bytes."""
-    return digested(docs, with_text=True, digest=digest).select("digest", "norm").join(hits, "digest", "left_semi").groupBy("digest", "norm").agg(F.count("*").alias("n")).select("digest", F.length("norm").alias("n_bytes"), "n")
+    return digested(docs, with_text=True, digest=digest, file=F.col("in_file")).select("digest", "norm").join(hits, "digest", "left_semi").groupBy("digest", "norm").agg(F.count("*").alias("n")).select("digest", F.length("norm").alias("n_bytes"), "n")
 
 
 def _decided(arrivals: DataFrame, groups: DataFrame, key: str = "digest") -> DataFrame:
-    kept = groups.select(F.col(key).alias("k"), F.col("n").alias("group_size"), (-F.col("best.neg_id")).alias("keep_id"), F.col("best.file").alias("keep_file"), (-F.col("best.neg_row")).alias("keep_row"))
+    kept = groups.select(F.col(key).alias("k"), F.col("n").alias("group_size"), (-F.col("best.neg_id")).cast("long").alias("keep_id"), F.col("best.file").alias("keep_file"), (-F.col("best.neg_row")).alias("keep_row"))
     return arrivals.join(kept.hint("merge"), F.col(key) == F.col("k")).withColumn("kept", F.col("row") == F.col("keep_row")).drop("k", "keep_row")
 
 
