@@ -13,7 +13,8 @@
 Only one row per source comes to the driver.  All else is joined by (source, block), so the texts are not
 shuffled while these tables are small, and by a splittable shuffle join beyond that.  Everything follows
 from hashes and a seed: reruns agree.  Null texts have size 0; null and empty source are two sources.
-Rows that share a doc_id are drawn alike.  An empty table gives no rows.
+Rows that share a doc_id, or have none, are drawn alike.  Columns of the table may have any names; those
+that are named like a column of the result give way.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-BLOCK_DOCS, MAX_BLOCKS, SEED = 256, 4096, 7
+BLOCK_DOCS, MAX_BLOCKS, SEED = 256, 65_536, 7
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -85,7 +86,7 @@ def _fill(pdf: pd.DataFrame) -> pd.DataFrame:
     rest = pdf.drop(index=chosen)
     if gap > 0 and len(rest) and (least := rest["size"].idxmin()) is not None and rest["size"].loc[least] < 2 * gap:
         chosen.append(least)
-    return pdf.loc[chosen, ["doc_id"]]
+    return pdf.loc[chosen, ["doc_id", "none"]]
 
 
 def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, shards: int = 64, seed: int = SEED) -> DataFrame:
@@ -111,8 +112,9 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = (1, 2
     by_block = by_block.withColumn("upto", F.expr("sum(words) over (partition by mix_key order by block)"))
     by_block = shared.saved(by_block.withColumn("last", F.when(F.col("upto") <= F.col("rest"), 2).when(F.col("upto") - F.col("words") < F.col("rest"), 1).otherwise(0)), f"{base}/blocks")
     edge = shared.saved(by_block.where("last = 1").select("mix_key", "block", (F.col("rest") - (F.col("upto") - F.col("words"))).alias("gap")), f"{base}/edge")
-    edge_rows = keyed.join(of_source, "mix_key").withColumn("block", block).join(shared.small_side(edge, f"{base}/edge"), ["mix_key", "block"]).select("mix_key", "doc_id", "size", "gap", F.xxhash64(F.lit(seed + 1), "doc_id").alias("order"))
-    picked = shared.saved(edge_rows.groupBy("mix_key").applyInPandas(_fill, "doc_id long").distinct(), f"{base}/picked")
+    edge_rows = keyed.join(of_source, "mix_key").withColumn("block", block).join(shared.small_side(edge, f"{base}/edge"), ["mix_key", "block"]).select("mix_key", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("none"), "size", "gap", F.xxhash64(F.lit(seed + 1), "doc_id").alias("order"))
+    picked = edge_rows.groupBy("mix_key").applyInPandas(_fill, "doc_id long, none boolean").distinct()
+    picked = shared.saved(picked.select(F.when(~F.col("none"), F.col("doc_id")).alias("picked_id"), F.lit(True).alias("picked")), f"{base}/picked")
 
     # Block copies, dealt to the shards by the tree's quotas.
     copies = F.when(F.col("last") > 0, F.col("full") + 1).otherwise(F.col("full"))
@@ -128,10 +130,12 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = (1, 2
     placed = shared.saved(placed, f"{base}/placed")
 
     order = F.expr(f"transform(filter(placed, p -> not p.edge or picked is not null), p -> struct(p.copy as copy, p.shard as shard, xxhash64({seed + 3}, p.shard, p.copy, doc_id) as order))")
-    out = docs.withColumn("mix_key", key).join(of_source, "mix_key").withColumn("block", block).join(shared.small_side(placed, f"{base}/placed"), ["mix_key", "block"], "left")
-    out = out.join(shared.small_side(picked.select(F.col("doc_id").alias("picked")), f"{base}/picked"), F.col("doc_id") == F.col("picked"), "left")
+    own = [c for c in docs.columns if c not in ("source_size", "target", "placements")]
+    out = docs.select(F.struct(*own).alias("document"), F.col("doc_id").cast("long").alias("doc_id"), key.alias("mix_key"))
+    out = out.join(of_source, "mix_key").withColumn("block", block).join(shared.small_side(placed, f"{base}/placed"), ["mix_key", "block"], "left")
+    out = out.join(shared.small_side(picked, f"{base}/picked"), F.col("doc_id").eqNullSafe(F.col("picked_id")), "left")
     empty = F.expr("cast(array() as array<struct<copy:int,shard:int,order:bigint>>)")
-    return out.withColumn("placements", F.coalesce(order, empty)).select(*docs.columns, "source_size", "target", "placements")
+    return out.withColumn("placements", F.coalesce(order, empty)).select("document.*", "source_size", "target", "placements")
 
 
 def copies(mixed: DataFrame) -> DataFrame:
@@ -149,4 +153,4 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     rows = shared.saved(sized(docs).drop("text"), shared.work_dir(spark, "mixing-sizes"))
     taken = F.col("size") * F.size("placements")
-    return mix(spark, rows).select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return mix(spark, rows).select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "placements")
