@@ -1,7 +1,8 @@
 """Toxicity: a linear-chain conditional random field tags toxic spans; its marginals make document scores.
 
 Fitting takes a bounded sample of labelled documents, at most ``per_class`` toxic and ``CLEAN`` times
-as many clean ones of at most ``max_chars`` characters, drawn by a hash of doc_id, of near copies one.  Tokens are labelled from it: in toxic documents, a token is toxic if
+as many clean ones of at most ``max_chars`` characters, drawn by a hash of doc_id, of near copies one; the
+field itself is fitted to at most ``windows`` windows of ``WINDOW`` tokens of each class, drawn from them.  Tokens are labelled from it: in toxic documents, a token is toxic if
 its word or one of its prefixes is tied to toxic documents by a likelihood-ratio test, in each half of
 the sample too.  The field has two
 states, features for word and prefixes, a bias and transitions, fitted by gradient ascent on the exact
@@ -13,7 +14,8 @@ potentials, so a run of them is a matrix power: the result is exact, and only to
 time.  Spans are the runs of tokens whose toxic marginal is 0.5 or more, as character offsets.
 
 Null and empty texts have no tokens: no evidence, the lowest score, no spans.  Without labelled
-documents of both classes every score is the share of toxic labels (0.0 without labels).
+documents of both classes every score is the share of toxic labels (0.0 without labels).  Only doc_id and
+text are read, and toxic of the labels, so other columns may have any name.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -251,7 +253,7 @@ def distinct(texts: list[bytes], seen: list[set[int]]) -> list[bytes]:
     return out
 
 
-def fit(toxic: list[bytes], clean: list[bytes], rate: float, per_class: int = PER_CLASS) -> Field:
+def fit(toxic: list[bytes], clean: list[bytes], rate: float, per_class: int = PER_CLASS, windows: int = WINDOWS) -> Field:
     """A field from the texts of toxic and clean documents; ``rate``: share of toxic ones among all labelled."""
     toxic, clean = ([x for x in side if x.split()] for side in (toxic, clean))
     seen: list[set[int]] = [set() for _ in range(COPY_HASHES)]
@@ -263,17 +265,12 @@ def fit(toxic: list[bytes], clean: list[bytes], rate: float, per_class: int = PE
     bad, good = ([[one.setdefault(t, t) for t in x.split()] for x in side] for side in (toxic, clean))
     known = tied_features(bad, good)
     marks = {t: any(f in known for f in features(t)) for doc in bad for t in set(doc)}
-    chains, tags = [], []
-    for doc in bad:
-        for at in range(0, len(doc), WINDOW):
-            piece = doc[at : at + WINDOW]
-            if any(marks[t] for t in piece) and len(chains) < WINDOWS:
-                chains.append(piece)
-                tags.append([int(marks[t]) for t in piece])
-    pieces = [doc[at : at + WINDOW] for doc in good for at in range(0, len(doc), WINDOW)]
-    for k in np.random.default_rng(3).permutation(len(pieces))[:WINDOWS]:
-        chains.append(pieces[k])
-        tags.append([0] * len(pieces[k]))
+    chains, tags, rng = [], [], np.random.default_rng(3)
+    for side, hot in ((bad, True), (good, False)):
+        pieces = [p for doc in side for at in range(0, len(doc), WINDOW) if (p := doc[at : at + WINDOW]) and (not hot or any(marks[t] for t in p))]
+        for k in rng.permutation(len(pieces))[:windows]:
+            chains.append(pieces[k])
+            tags.append([int(hot and marks[t]) for t in pieces[k]])
     field = Field(*(_fit_chains(chains, tags, known) if chains else ({}, -20.0, np.zeros((2, 2)), np.zeros(2))), (1.0, 0.0))
     found = np.array([field.evidence(d)[0] for d in bad + good])
     label = np.concatenate([np.ones(len(bad)), np.zeros(len(good))])
@@ -293,7 +290,7 @@ def remainder(modulus: int) -> F.Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus))
 
 
-def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS, folds: int = 5) -> Field:
+def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS, folds: int = 5, windows: int = WINDOWS) -> Field:
     """Fit on labelled rows outside the held-out fold."""
     known = labels.where(remainder(folds) != 0).where("toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
     total = {int(r[0] > 0): int(r[1]) for r in known.groupBy((F.col("toxic") > 0).cast("int").alias("t")).agg(F.count("*")).collect()}
@@ -309,7 +306,7 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: in
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id").where((F.length("text") > 0) & (F.length("text") <= max_chars)).select("doc_id", "label", "text")
     rows = sorted(sample.collect(), key=lambda r: (r.doc_id, r.text))
     side = [[r.text.encode() for r in rows if r.label == y] for y in (0, 1)]
-    return fit(side[1], side[0], rate, per_class)
+    return fit(side[1], side[0], rate, per_class, windows)
 
 
 def score(docs: DataFrame, field: Field) -> DataFrame:
@@ -334,4 +331,4 @@ def score(docs: DataFrame, field: Field) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     field = learn(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, field).select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return score(docs, field).select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
