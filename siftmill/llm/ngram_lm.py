@@ -4,8 +4,8 @@ Counting: a task hashes its words to 64 bits, sorts and merges its bigrams, and
 bigram space one packed block of (previous, word, count).  A context's bigrams are spread over eight
 shards, so a very common word is no hot spot.  A shard merges its blocks, writes its bigrams as sorted
 hash arrays, and passes on sums by context and by word; these are merged the same way into the arrays of
-the lower order.  Shards follow ``spark.sql.shuffle.partitions``, so a shard's size is bounded at any
-scale.  All arrays are ``.npy`` files in the shared folder; the workers map them into memory and look
+the lower order.  Shards follow the input's bytes, and ``spark.sql.shuffle.partitions`` where that is more,
+so a shard does not grow with the input; each is a partition of its own.  All arrays are ``.npy`` files in the shared folder; the workers map them into memory and look
 words and bigrams up by sorted search.  Nothing but totals comes to the driver.
 
 Tokens: words between ASCII white space with A-Z lower-cased, then one end, which counts as a token.  The
@@ -14,10 +14,14 @@ lower order interpolates with a uniform distribution over the V known tokens and
 
 Null and empty texts are the end token alone.  Repeated rows count again.  Without training rows every
 token is unknown: train_tokens is 0 and both scores are 0 (log10 of 1, as unknown is all there is).
+Rows without a doc_id are not held out.  Only doc_id and text are read,
+so other columns may have any name.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +37,8 @@ _FOLD = np.uint64(0xD6E8FEB86659FD93)
 BUFFER = 1_000_000
 #: Tokens that are scored at once.
 SCORED = 150_000
+#: Bytes of the table for each shard of the model.
+SHARD_BYTES = 16 << 20
 LOG10 = np.log(10.0)
 
 
@@ -281,17 +287,24 @@ class Model:
         return np.log(top + back[i] * low[j]) / LOG10, rows["count"][j]
 
 
+def shards_of(spark: SparkSession, docs: DataFrame) -> int:
+    """Shards of the model: one for each ``SHARD_BYTES`` of the table, or as many as Spark's shuffle partitions."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    known = size if size < 1 << 60 else 0  # plans without statistics say more than any table holds
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(known / SHARD_BYTES))
+
+
 def train(spark: SparkSession, docs: DataFrame) -> Model:
     """Count ``docs`` (column text) into a model below the shared folder."""
     folder = shared.work_dir(spark, "ngram_lm")
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards_of(spark, docs)
     counted = docs.select(F.col("text").cast("string").alias("text")).transform(shared.in_arrow, _count(shards), BLOCK_SCHEMA)
-    dealt = counted.repartition(shards, "shard").sortWithinPartitions("kind", "shard")
+    dealt = counted.repartitionById(shards, F.col("shard")).sortWithinPartitions("kind", "shard")
     merged = shared.saved(dealt.transform(shared.in_arrow, _merge_pairs(folder, shards), BLOCK_SCHEMA), f"{folder}/sums")
     high = np.zeros(4, np.int64)
     for r in merged.where("kind = 2").select("payload").toLocalIterator():  # four numbers a shard
         high += np.frombuffer(r[0], np.int64)
-    words = merged.where("kind < 2").repartition(shards, "shard").sortWithinPartitions("shard", "kind")
+    words = merged.where("kind < 2").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "kind")
     schema = "shard long, tokens long, words long, pairs long, c1 long, c2 long, c3 long, c4 long"
     sums = words.transform(shared.in_arrow, _merge_words(folder), schema).agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "words", "pairs", "c1", "c2", "c3", "c4"))).first()
     shared.delete(spark, f"{folder}/sums")
@@ -336,7 +349,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def held_out() -> F.Column:
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
 
 
 def op6_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
