@@ -8,11 +8,13 @@ text is the same on most pages is template; a varying slot is content.  Wrappers
 merged before the shuffle, so a host with any share of the pages sends one small row per task.
 
 A page is then aligned with its host's wrapper.  Its scope is ``main``, else ``article``, else the body;
-inside, elements that are page furniture by tag, class, id or role go, lists of links go, and so do nodes
-that hold their template's constant text.  Single blocks are also told by exact counts: one whose text at most
-pages with its path of labels have there, at any place among its siblings, is template.  A page that is a copy
-of most others of its host would lose its article that way; where nothing is left, or less than 40% of a main or
-article, the constant nodes stay.
+constant nodes go, but for the parts of an article that varies as a whole, and so do elements that are page
+furniture by tag, class, id or role, and outside articles lists of links.  Single blocks are also told by exact counts: one whose text at most pages with its path of
+labels have there, at any place among its siblings, is template.  Constant means: on three pages of different
+articles at least and on half of the pages; pages that agree in title, heading and longest pieces of text are
+one article, so copies do not make each other template.  On hosts with a wrapper the class words of furniture
+that an article could use itself (notice, form, tags, legal ...) count outside articles only; on hosts of
+fewer than three pages there is no wrapper, and all words count everywhere.
 
 Null and empty html give an empty text; so does a page of furniture only.  Pages without a usable url form
 one host of their own.  Unclosed tags, stray ends and markup inside scripts are handled as browsers do in
@@ -24,7 +26,6 @@ from __future__ import annotations
 import html
 import json
 import re
-from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -45,16 +46,23 @@ _FURNITURE_WORDS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adslot|adbox|adunit|banner\w*|promo\w*|sponsor\w*|sidebar\w*|side-bar|aside|rail|menu\w*|nav\w*|navigation|breadcrumbs?|header|page-header|site-header|masthead|topbar|footer|site-footer|footnotes-nav|cookies?\w*|consent|gdpr|notice\w*|notification\w*|alert\w*|popup\w*|pop-up|modal\w*|overlay|paywall|newsletter\w*|subscribe\w*|subscription|signup|sign-up|share\w*|sharing|social\w*|related\w*|recommend\w*|read-more|more-stories|trending|popular|comments?\w*|commentlist|respond|replies|reply\w*|disqus\w*|discussion|feedback|reactions?|widgets?\w*|login|toolbar|pagination|pager|search\w*|skip-link|complementary|contentinfo|legal|disclaimer|copyright|tag-list|tags|form)(?:$|[\s_-])",
     re.I,
 )
+#: Of these, the ones that an article does not use for its own parts.
+_ALWAYS_FURNITURE = re.compile(
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adslot|adbox|adunit|promo\w*|sponsor\w*|sidebar\w*|side-bar|aside|menu\w*|nav\w*|navigation|breadcrumbs?|masthead|topbar|site-header|footer|site-footer|cookies?\w*|consent|gdpr|popup\w*|pop-up|modal\w*|overlay|paywall|newsletter\w*|subscribe\w*|subscription|signup|sign-up|share\w*|sharing|social\w*|related\w*|recommend\w*|read-more|more-stories|comments?\w*|commentlist|respond|replies|reply\w*|disqus\w*|widgets?\w*|login|toolbar|pagination|pager|skip-link|complementary|contentinfo)(?:$|[\s_-])",
+    re.I,
+)
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 _SELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tbody"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}, "body": {"head"}}
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tbody": {"table"}, "thead": {"table"}, "tfoot": {"table"}, "option": {"select"}}
 
 
 class Node:
-    __slots__ = ("tag", "names", "kids", "parent", "inside")
+    __slots__ = ("tag", "names", "kids", "parent", "inside", "plain")
 
-    def __init__(self, tag: str, names: str, parent: Node | None):
+    def __init__(self, tag: str, names: str, parent: Node | None, plain: bool = False):
         self.tag, self.names, self.parent, self.kids = tag, names, parent, []
+        #: Of a host without a wrapper: class words alone must do.
+        self.plain: bool = plain or parent is not None and parent.plain
         #: Inside an article, where a header holds its title.
         self.inside: bool = tag == "article" or parent is not None and parent.inside
 
@@ -63,9 +71,9 @@ class Node:
         return f"{self.tag}.{self.names}" if self.names else self.tag
 
 
-def parse(source: str) -> Node:
+def parse(source: str, plain: bool = False) -> Node:
     """A DOM tree; kids are nodes and strings."""
-    root = top = Node("#root", "", None)
+    root = top = Node("#root", "", None, plain)
     at, n = 0, len(source)
     while at < n:
         m = _MARKUP.search(source, at)
@@ -124,7 +132,12 @@ _TITLES = re.compile(r"(?:^|[\s_-])(?:article|entry|post|story|content)[_-]+(?:h
 def is_furniture(node: Node) -> bool:
     if node.tag == "header" and node.inside or node.names and _TITLES.search(node.names):
         return False
-    return node.tag in FURNITURE or bool(node.names) and node.tag not in ("html", "body", "main", "article") and ("hidden-element" in node.names or bool(_FURNITURE_WORDS.search(node.names)))
+    if node.tag in FURNITURE:
+        return True
+    if not node.names or node.tag in ("html", "body", "main", "article"):
+        return False
+    words = _ALWAYS_FURNITURE if node.inside and not node.plain else _FURNITURE_WORDS
+    return "hidden-element" in node.names or bool(words.search(node.names))
 
 
 def _pieces(node: Node, gone: set[int], out: list[str]) -> None:
@@ -153,10 +166,31 @@ def text_of(node: Node, gone: set[int] = frozenset()) -> str:
     return _joined(out)
 
 
-# ---- Page trees and wrappers: [label, pages, digests, kids, first digests, last digests] ----
+# ---- Page trees and wrappers: [label, pages, digests, kids, first digests, last digests, articles] ----
 
+#: Digests of a node have [pages, articles]; articles are a set of marks, one of 63 bits for each article.
 KEPT = 4
-LABEL, PAGES, TEXTS, KIDS, FIRST, LAST = range(6)
+LABEL, PAGES, TEXTS, KIDS, FIRST, LAST, ARTICLES = range(7)
+
+
+def article_mark(root: Node) -> int:
+    """One bit for the page's article: by title, first heading and the three longest pieces of text."""
+    title = heading = ""
+    pieces: list[str] = []
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        if node.tag == "title" and not title:
+            title = "".join(k for k in node.kids if isinstance(k, str))
+        elif node.tag == "h1" and not heading:
+            heading = text_of(node)
+        if node.tag not in RAW:
+            for k in node.kids:
+                if not isinstance(k, str):
+                    stack.append(k)
+                elif len(pieces) < 3 or len(k) > len(pieces[-1]):
+                    pieces = sorted([*pieces, k.strip()], key=lambda x: (-len(x), x))[:3]
+    return 1 << xxh3_64_intdigest("\0".join((title.strip(), heading, *pieces)).encode(errors="replace")) % 63
 
 
 def _blocks(node: Node) -> list[Node]:
@@ -168,7 +202,7 @@ def _digest(nodes: list[Node]) -> int | None:
     return xxh3_64_intdigest(text.encode(errors="replace")) if text else None
 
 
-def page_tree(nodes: list[Node], at: dict[int, list[Node]] | None = None) -> list:
+def page_tree(nodes: list[Node], mark: int, at: dict[int, list[Node]] | None = None) -> list:
     """The tree of a run of equal siblings; ``at`` gets the DOM nodes of every tree node, by its identity."""
     kids: list[list] = []
     runs: list[list[Node]] = []
@@ -189,10 +223,10 @@ def page_tree(nodes: list[Node], at: dict[int, list[Node]] | None = None) -> lis
                 else:
                     same.extend(r)
     for r in runs:
-        kids.append(page_tree(r, at))
+        kids.append(page_tree(r, mark, at))
     d = _digest(nodes)
-    ends = [{f"{e}": 1} if len(nodes) > 1 and (e := _digest([x])) is not None else {} for x in (nodes[0], nodes[-1])]
-    out = [nodes[0].label, 1, {str(d): 1} if d is not None else {}, kids, *ends]
+    ends = [{f"{e}": [1, mark]} if len(nodes) > 1 and (e := _digest([x])) is not None else {} for x in (nodes[0], nodes[-1])]
+    out = [nodes[0].label, 1, {str(d): [1, mark]} if d is not None else {}, kids, *ends, mark]
     if at is not None:
         at[id(out)] = nodes
     return out
@@ -225,11 +259,12 @@ def matching(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
 def _common(a: dict, b: dict) -> dict:
     """Merged heavy hitters: at most KEPT digests; what goes beyond takes the same from all (Misra and Gries)."""
     out = dict(a)
-    for k, n in b.items():
-        out[k] = out.get(k, 0) + n
+    for k, (n, marks) in b.items():
+        m, seen = out.get(k, (0, 0))
+        out[k] = [m + n, seen | marks]
     if len(out) > KEPT:
-        less = sorted(out.values(), reverse=True)[KEPT]
-        out = {k: n - less for k, n in out.items() if n > less}
+        less = sorted((n for n, _ in out.values()), reverse=True)[KEPT]
+        out = {k: [n - less, marks] for k, (n, marks) in out.items() if n > less}
     return out
 
 
@@ -249,7 +284,7 @@ def merged(a: list, b: list) -> list:
     if len(kids) > MOST_KIDS:
         kept = sorted(range(len(kids)), key=lambda i: (-kids[i][PAGES], i))[:MOST_KIDS]
         kids = [kids[i] for i in sorted(kept)]
-    return [a[LABEL], a[PAGES] + b[PAGES], _common(a[TEXTS], b[TEXTS]), kids, _common(a[FIRST], b[FIRST]), _common(a[LAST], b[LAST])]
+    return [a[LABEL], a[PAGES] + b[PAGES], _common(a[TEXTS], b[TEXTS]), kids, _common(a[FIRST], b[FIRST]), _common(a[LAST], b[LAST]), a[ARTICLES] | b[ARTICLES]]
 
 
 def block_keys(body: Node) -> list[tuple[Node, int, int | None]]:
@@ -287,20 +322,25 @@ def body_of(root: Node) -> Node:
     return root
 
 
-def tree_of(body: Node, at: dict | None = None) -> list:
-    out = page_tree([body], at)
+def tree_of(root: Node, at: dict | None = None) -> list:
+    out = page_tree([body_of(root)], article_mark(root), at)
     out[LABEL] = "body"
     return out
 
 
-def _is_constant(counts: dict, pages: int, digest: int | None) -> bool:
-    return digest is not None and pages >= 3 and counts.get(str(digest), 0) >= max(3, 0.5 * pages)
+#: Pages from which a host has a wrapper, and the share of pages that makes a text template.
+LEAST, SHARE = 3, 0.5
+
 
+def _is_constant(counts: dict, node: list, digest: int | None) -> bool:
+    pages, marks = counts.get(str(digest), (0, 0))
+    return digest is not None and pages >= max(LEAST, SHARE * node[PAGES]) and marks.bit_count() >= max(LEAST, SHARE * node[ARTICLES].bit_count())
 
-def constant_nodes(body: Node, wrapper: list | None) -> set[int]:
+
+def constant_nodes(root: Node, wrapper: list | None) -> set[int]:
     """DOM nodes of a page that hold their template's constant text."""
     gone: set[int] = set()
-    if wrapper is None or wrapper[PAGES] < 3:
+    if wrapper is None or wrapper[PAGES] < LEAST:
         return gone
     at: dict[int, list[Node]] = {}
 
@@ -308,16 +348,16 @@ def constant_nodes(body: Node, wrapper: list | None) -> set[int]:
         for p, q in matching(tree, wrap)[1]:
             own, other = tree[KIDS][p], wrap[KIDS][q]
             nodes = at[id(own)]
-            if _is_constant(other[TEXTS], other[PAGES], _digest(nodes)):
+            if _is_constant(other[TEXTS], other, _digest(nodes)):
                 gone.update(id(x) for x in nodes)
                 continue
             if len(nodes) > 1:
                 for x, counts in ((nodes[0], other[FIRST]), (nodes[-1], other[LAST])):
-                    if _is_constant(counts, other[PAGES], _digest([x])):
+                    if _is_constant(counts, other, _digest([x])):
                         gone.add(id(x))
             walk(own, other)
 
-    walk(tree_of(body, at), wrapper)
+    walk(tree_of(root, at), wrapper)
     return gone
 
 
@@ -337,6 +377,13 @@ def _scopes(body: Node) -> list[Node]:
     return found["main"] or found["article"] or [body]
 
 
+def _blocks_below(node: Node):
+    for k in node.kids:
+        if isinstance(k, Node):
+            yield k
+            yield from _blocks_below(k)
+
+
 def _link_lists(node: Node, gone: set[int]) -> None:
     """Blocks whose text is links for the most part, three at least."""
     for k in _blocks(node):
@@ -351,7 +398,7 @@ def _link_lists(node: Node, gone: set[int]) -> None:
                     collect(y, inside or y.tag == "a")
 
         count = sum(1 for _ in _anchors(k))
-        if count >= 3:
+        if count >= 3 and (k.plain or not k.inside):  # an article's list of links is its own
             collect(k, False)
             whole = text_of(k)
             if len(_joined(links)) >= 0.8 * len(whole):
@@ -372,23 +419,18 @@ def main_text(source: str, wrapper: list | None = None, fixed: frozenset | set =
     """The main text of one page, by its host's wrapper and the keys of its host's constant blocks, if there are any."""
     if not source:
         return ""
-    body = body_of(parse(source))
+    root = parse(source, plain=wrapper is None or wrapper[PAGES] < LEAST)
+    body = body_of(root)
     scopes = _scopes(body)
-    lists: set[int] = set()
-    for s in scopes:
-        _link_lists(s, lists)
-    plain = " ".join(x for s in scopes if (x := text_of(s, lists)))
-    constant = constant_nodes(body, wrapper)
+    gone = constant_nodes(root, wrapper)
     if fixed:
-        constant |= {id(node) for node, _, key in block_keys(body) if key in fixed}
-    if not constant:
-        return plain
-    if any(id(s) in constant for s in scopes):
-        constant -= {id(s) for s in scopes}
-    less = " ".join(x for s in scopes if (x := text_of(s, lists | constant)))
-    # Where the page marks its article, a constant one is a copy; elsewhere short articles have long templates.
-    whole = scopes == [body] or len(less) >= 0.4 * len(plain)
-    return less if less and whole else plain
+        gone |= {id(node) for node, _, key in block_keys(body) if key in fixed}
+    # An article that is constant as a whole is template; the parts of one that varies are its own.
+    scopes = [s for s in scopes if not (s.inside and id(s) in gone)]
+    gone -= {id(node) for s in scopes if s.inside for node in _blocks_below(s)}
+    for s in scopes:
+        _link_lists(s, gone)
+    return " ".join(x for s in scopes if (x := text_of(s, gone)))
 
 
 # ---- Spark ----------------------------------------------------------------
@@ -421,7 +463,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for url, source in zip(batch.column(0).to_pylist(), shared.utf8_rows(batch.column(1))):
                 if len(source):
-                    _add(held, host_of(url), tree_of(body_of(parse(str(source, "utf-8")))))
+                    _add(held, host_of(url), tree_of(parse(str(source, "utf-8"))))
                 if len(held) >= HELD:
                     yield _merge_rows(held)
                     held = {}
@@ -446,32 +488,36 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
 
 def constant_blocks(pages: DataFrame) -> DataFrame:
-    """(host, fixed): keys of the blocks that at least three pages and half of the host's pages with their path hold."""
+    """(host, fixed): keys of the blocks that are constant among the host's pages with their path."""
 
     def count(batches):
-        held: Counter = Counter()
+        held: dict[tuple, list[int]] = {}
 
         def out():
             host, path, key = zip(*held) if held else ((), (), ())
-            columns = [pa.array(host, pa.string()), *(pa.array(c, pa.uint64()).view(pa.int64()) for c in (path, key)), pa.array(held.values(), pa.int64())]
-            return pa.RecordBatch.from_arrays(columns, names=["host", "path", "key", "n"])
+            n, marks = zip(*held.values()) if held else ((), ())
+            columns = [pa.array(host, pa.string()), *(pa.array(c, pa.uint64()).view(pa.int64()) for c in (path, key)), pa.array(n, pa.int64()), pa.array(marks, pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=["host", "path", "key", "n", "marks"])
 
         for batch in batches:
             for url, source in zip(batch.column(0).to_pylist(), shared.utf8_rows(batch.column(1))):
                 if len(source):
-                    host = host_of(url)
-                    found = block_keys(body_of(parse(str(source, "utf-8"))))
-                    held.update({(host, path, key) for _, path, key in found} | {(host, path, None) for _, path, _ in found})
+                    host, root = host_of(url), parse(str(source, "utf-8"))
+                    found, mark = block_keys(body_of(root)), article_mark(root)
+                    for path, key in {(path, key) for _, path, key in found} | {(path, None) for _, path, _ in found}:
+                        seen = held.setdefault((host, path, key), [0, 0])
+                        seen[0] += 1
+                        seen[1] |= mark
                 if len(held) >= FLUSH:
                     yield out()
                     held.clear()
         yield out()
 
-    counts = pages.select("url", "html").transform(shared.in_arrow, count, "host string, path long, key long, n long").groupBy("host", "path", "key").agg(F.sum("n").alias("n"))
+    counts = pages.select("url", "html").transform(shared.in_arrow, count, "host string, path long, key long, n long, marks long").groupBy("host", "path", "key").agg(F.sum("n").alias("n"), F.bit_count(F.bit_or("marks")).alias("articles"))
     base = shared.work_dir(pages.sparkSession, "html_blocks")
-    counts = shared.saved(counts.where("n >= 3"), base)
-    whole = counts.where("key is null").select("host", "path", F.col("n").alias("pages"))
-    common = counts.where("key is not null").join(whole, ["host", "path"]).where("n >= 0.5 * pages")
+    counts = shared.saved(counts.where(F.col("n") >= LEAST), base)
+    whole = counts.where("key is null").select("host", "path", F.col("n").alias("pages"), F.col("articles").alias("of"))
+    common = counts.where("key is not null").join(whole, ["host", "path"]).where(f"n >= {SHARE} * pages and articles >= {LEAST} and articles >= {SHARE} * of")
     return common.groupBy("host").agg(F.collect_set("key").alias("fixed"))
 
 

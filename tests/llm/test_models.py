@@ -157,11 +157,11 @@ def test_wrapper_tells_template_from_content():
     pages = [f"<body><div><div>Subscribe to our letter today</div><div><p>Story {k} tells {k * 7} things.</p><p>It ends with {k}.</p></div></div></body>" for k in range(9)]
     wrapper = None
     for p in pages:
-        tree = html_extract.tree_of(html_extract.body_of(html_extract.parse(p)))
+        tree = html_extract.tree_of(html_extract.parse(p))
         wrapper = tree if wrapper is None else html_extract.merged(wrapper, tree)
     assert html_extract.main_text(pages[3], wrapper) == "Story 3 tells 21 things. It ends with 3."
     copy = "<body><div><p>The very same article stands on most pages of this host.</p></div></body>"
-    tree = html_extract.tree_of(html_extract.body_of(html_extract.parse(copy)))
+    tree = html_extract.tree_of(html_extract.parse(copy))
     wrapper = tree
     for _ in range(5):
         wrapper = html_extract.merged(wrapper, tree)
@@ -208,6 +208,29 @@ def test_constant_end_of_long_pages(spark):
     assert all("goes on every page" not in t and f"text {k} 49" in t for k, t in enumerate(got))
 
 
+def test_wrapper_alone_finds_the_text(spark):
+    """No article, main or class hint: the host's pages tell template from content, also where most are copies."""
+    page = "<div><p>Daily Harbour</p><p>All about ships</p></div><div><p>{0}</p><p>and more of {0}</p></div><div><p>Write to us at the harbour</p><p>made with care</p></div>"
+    story = [f"ship {k} came in" for k in range(7)]
+    assert _texts_of_host(spark, [page.format(s) for s in story]) == [f"{s} and more of {s}" for s in story]
+    copies = [page.format(s) for s in ["the same long story of one ship for everyone"] * 9 + story]
+    assert _texts_of_host(spark, copies)[:10] == ["the same long story of one ship for everyone and more of the same long story of one ship for everyone"] * 9 + ["ship 0 came in and more of ship 0 came in"]
+    two = _texts_of_host(spark, [page.format(s) for s in story[:2]])
+    assert all(t.startswith("Daily Harbour") for t in two)  # no wrapper from two pages
+
+
+def test_parts_of_an_article_stay(spark):
+    body = "<article><p>Intro {0}</p><ul><li><a href=a>one {0}</a></li><li><a href=b>two {0}</a></li><li><a href=c>three</a></li></ul><div class=notice-period>Period {0}</div><section id=form>Form of {0}</section><p class=tags>Tags {0}</p><div class=share-bar>Share {0}</div></article>"
+    got = _texts_of_host(spark, [body.format(k) for k in range(5)])
+    assert got == [f"Intro {k} one {k} two {k} three Period {k} Form of {k} Tags {k}" for k in range(5)]
+
+
+def test_long_page(spark):
+    words = " ".join(f"word{k}" for k in range(40_000))
+    assert _texts_of_host(spark, [f"<nav>menu</nav><article><p>{words}</p></article>"]) == [words]
+    assert _texts_of_host(spark, ["<div>" * 300 + "deep" + "</div>" * 300]) == ["deep"]
+
+
 def test_mix_is_written_in_shard_order(spark, docs):
     d = docs([f"text {k} " * (1 + k % 5) for k in range(900)])
     rows = mixing.sized(d).drop("text")
@@ -217,3 +240,56 @@ def test_mix_is_written_in_shard_order(spark, docs):
     got = [r.doc_id for r in corpus_pipeline.mix_sources(spark, d, "").collect()]
     assert Counter(got) == Counter({k: len(v) for k, v in place.items()})
     assert got == [k for _, k in sorted((p, k) for k, v in place.items() for p in v)]
+
+
+def test_mixing_with_clashing_columns_and_missing_ids(spark, docs):
+    rows = [(None if k % 9 == 0 else 2**62 + k, "w " * (1 + k % 11), "ab"[k % 2]) for k in range(300)]
+    d = mixing.sized(docs(rows).selectExpr("*", "1 as picked", "2 as picked_id", "3 as document", "4 as target", "5 as mix_key", "6 as block", "7 as placed", "8 as gap", "9 as none"))
+    out = mixing.mix(spark, d)
+    assert out.columns == [c for c in d.columns if c != "target"] + ["source_size", "target", "placements"]
+    got = out.collect()
+    assert len(got) == 300 and {r.picked for r in got} == {1}
+    for s in "ab":
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r["size"] * len(r.placements) for r in own) - own[0].target) <= 11 * 34  # rows without an id are drawn alike
+    assert {p.shard for r in got for p in r.placements} <= set(range(64))
+
+
+def test_toxicity_with_odd_columns_and_long_text(spark, docs):
+    d = docs([(1, "nasty " + "word " * 60_000, "s"), (None, None, "s")]).selectExpr("*", "1 as score", "2 as spans", "3 as label")
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    assert all(r.score < 0.5 and r.spans == [] for r in toxicity.score(d, toxicity.learn(spark, d, labels)).collect())
+    assert toxicity.score(docs([]), toxicity.learn(spark, docs([]), labels)).count() == 0
+
+
+def test_fitted_field_is_the_best_one():
+    """The fit against brute force: at the optimum the model's expected counts are those of the labelled tokens."""
+    chains = [[b"a", b"bad", b"c"], [b"bad", b"bad"], [b"c", b"a"], [b"a", b"c", b"bad"]] * 5
+    tags = [[0, 1, 0], [1, 1], [0, 0], [0, 0, 1]] * 5
+    weights, bias, trans, start = toxicity._fit_chains(chains, tags, {"w=bad"}, steps=600, rate=0.05, ridge=1e-2)
+    field = toxicity.Field(weights, bias, trans, start, (1.0, 0.0))
+
+    def likelihood(x):
+        f = toxicity.Field({"w=bad": x[0]}, x[1], np.array(x[2:6]).reshape(2, 2), np.array(x[6:]), (1.0, 0.0))
+        total = 0.0
+        for chain, tag in zip(chains, tags):
+            e = [f.emission(t) for t in chain]
+            paths = [[(k >> j) & 1 for j in range(len(chain))] for k in range(2 ** len(chain))]
+            value = lambda y: f.start[y[0]] + sum(e[j] * y[j] for j in range(len(y))) + sum(f.trans[a, b] for a, b in zip(y, y[1:]))
+            total += value(tag) - math.log(sum(math.exp(value(y)) for y in paths))
+        return total / len(chains) - 0.5e-2 * sum(v * v for v in x)
+
+    best = [field.weights["w=bad"], field.bias, *trans.ravel(), *start]
+    top = likelihood(best)
+    for k in range(len(best)):
+        for d in (-0.3, 0.3):
+            assert likelihood([v + d * (i == k) for i, v in enumerate(best)]) <= top + 1e-4
+
+
+def test_shards_follow_the_table(spark, docs, sf_dir, monkeypatch):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    monkeypatch.setattr(ngram_lm, "SHARD_BYTES", 1 << 14)
+    assert ngram_lm.shards_of(spark, d) > 10
+    model = ngram_lm.train(spark, d)
+    odd = d.selectExpr("*", "1 as score", "2 as shard", "3 as payload", "4 as kind").limit(40)
+    assert all(r.score < 0 and r.n_known <= r.n_tokens for r in ngram_lm.score(odd, model).collect())

@@ -117,3 +117,64 @@ def test_line_dedup_same_rows_both_ways(spark, docs):
     assert few == many
     assert sorted(r.kept_text for r in many if r.doc_id is None) == ["no id", "none"]
     assert len(many) == len(rows)
+
+
+def test_embeddings_at_any_scale(spark):
+    """Of eight vectors none links at unit scale, and so at any other; copies at another scale do."""
+    rng = np.random.default_rng(4)
+    x = np.linalg.qr(rng.standard_normal((16, 16)))[0][:8]
+    for scale in (1e-310, 1e-200, 1.0, 1e200):
+        rows = [(k, (v * scale).tolist()) for k, v in enumerate(x)] + [(100, (x[3] * 1e-3).tolist())]
+        got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+        assert got == {k: (int(k == 3), k, True) for k in range(8)} | {100: (1, 3, False)}
+
+
+def test_embeddings_of_floats_large_and_missing_ids(spark):
+    v, w = [0.1, 0.2, 0.3], [0.3, -0.2, 0.1]
+    rows = [(2**62 + 1, v, 1), (2**62 + 5, v, 1), (-(2**63), w, 1), (7, w, 1), (None, v, 1), (None, None, 1)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>, bucket int").selectExpr("*", "1 as id", "2 as copies", "'x' as vec")
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in near_vectors(spark, d).collect()), key=str)
+    assert got == sorted([(2**62 + 1, 1, 2**62 + 1, True), (2**62 + 5, 1, 2**62 + 1, False), (-(2**63), 1, -(2**63), True), (7, 1, -(2**63), False), (None, 0, None, True), (None, 0, None, True)], key=str)
+
+
+def test_large_bucket_is_cut(spark):
+    rng = np.random.default_rng(7)
+    x = np.ones(8) + 0.02 * rng.standard_normal((2600, 8))
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = near_vectors(spark, rows).collect()
+    assert {(r.n_links, r.component_id) for r in got} == {(2599, 0)} and len(got) == 2600
+
+
+def test_state_lives_through_a_restart(spark, docs):
+    folder = exact_dedup.StreamingDedup(spark).folder
+    for part in (["a b", "c"], ["a  b", "d"], ["ab", "c "]):
+        exact_dedup.StreamingDedup(spark, folder).ingest(docs([(len(part[0]) * 10 + k, t, "s") for k, t in enumerate(part)]))
+    job = exact_dedup.StreamingDedup(spark, folder)
+    digests = [r.digest for r in job.groups().collect()]
+    assert len(digests) == len(set(digests)) == 3
+    rows = [r.row for r in job.arrivals().collect()]
+    assert len(rows) == len(set(rows)) == 6
+    assert sorted(r.n for r in job.groups().collect()) == [1, 2, 3]
+
+
+def test_exact_dedup_of_extreme_and_missing_ids(spark, docs):
+    rows = [(-(2**63), "x y", "s"), (5, "xy", "s"), (None, "x y", "s"), (2**63 - 1, "x\ty", "s"), (None, "alone", "s")]
+    d = docs(rows).selectExpr("*", "1 as file", "2 as row", "3 as digest", "4 as n", "5 as at_id")
+    got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(spark, d).collect()}
+    low = -(2**63)
+    assert got == {(low, low, 4, True), (5, low, 4, False), (None, low, 4, False), (2**63 - 1, low, 4, False), (None, None, 1, True)}
+
+
+LONG = " ".join(f"word{k % 5000}" for k in range(60_000))
+CLASH = ("*", "1 as key", "2 as n", "'x' as id", "'y' as kept_text", "3 as n_lines", "'z' as gone", "4 as ids", "5 as n_tokens", "6 as decoded")
+
+
+def test_long_texts_and_clashing_columns(spark, docs):
+    rows = [LONG, "a\n" * 40_000, None, "", LONG, LONG]
+    d = docs(rows).selectExpr(*CLASH)
+    for n in (400_000, 0):
+        got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_text) for r in line_dedup.line_dedup(spark, d, min_docs=3, broadcast_keys=n).collect()}
+        assert got == {0: (1, 1, ""), 1: (40_001, 0, rows[1]), 2: (1, 0, ""), 3: (1, 0, ""), 4: (1, 1, ""), 5: (1, 1, "")}
+    library = Tokenizer.from_file(bpe.default_tokenizer())
+    got = {r.doc_id: r.n_tokens for r in bpe.encode(d, bpe.default_tokenizer()).collect()}
+    assert got == {k: len(library.encode(t or "", add_special_tokens=False).ids) for k, t in enumerate(rows)}
