@@ -73,6 +73,12 @@ def small_side(df: DataFrame, path: str, limit: int = BROADCAST_BYTES) -> DataFr
     return F.broadcast(df) if bytes_of(df.sparkSession, path) <= limit else df
 
 
+def free(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of stages whose results are written: nothing refers to them any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 # ---- Arrow ---------------------------------------------------------------
 
 #: Rows and bytes of a batch between Spark and Python: with texts of any length, a worker holds little at a time.
