@@ -44,6 +44,29 @@ BANDS = {"JOIN": (72, 75), "ORDER_BY": (25, 30), "DISTINCT": (20, 22), "LIMIT":
 NARROW = ("join", "order_by", "distinct", "limit", "subquery", "case", "group_by", "cte", "window", "backtick", "aggregation")
 
 
+# Patterns of the five-feature variant, and the target mode of each failure class.
+FIVE = {"case": r"\bCASE\b", "cte": r"\bWITH\b", "window": r"\bOVER\s*\(", "join": r"\bJOIN\b", "subquery": "(?s)SELECT.*SELECT"}
+TARGET_MODES = {
+    "exact_identifier_error": "column_error",
+    "wrong_table_side_error": "wrong_table_ownership",
+    "alias_error": "column_error",
+    "wrong_return_field": "return_field_mismatch",
+    "wrong_count_granularity": "wrong_count_granularity",
+    "missing_distinct": "distinct_shape_error",
+    "wrong_denominator": "wrong_denominator",
+    "wrong_cohort_definition": "wrong_denominator",
+    "aggregate_logic_error": "aggregation_level_error",
+    "join_path_error": "join_path_error",
+    "table_family_confusion": "phase_table_confusion",
+    "wrong_filter_condition": "wrong_denominator",
+    "wrong_literal_mapping": "return_field_mismatch",
+    "temporal_anchor_error": "temporal_anchor_error",
+    "output_shape_error": "output_format_error",
+    "degenerate_or_truncated_sql": "truncation_error",
+    "syntax_local_error": "syntax_error",
+}
+
+
 def _n(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern))
 
@@ -86,6 +109,33 @@ def substring_features(c) -> dict[str, Column]:
     }
 
 
+def five_features(c) -> dict[str, Column]:
+    """5 flags."""
+    up = F.upper(text(c))
+    return {k: up.rlike(p) for k, p in FIVE.items()}
+
+
+def eight_features(c) -> dict[str, Column]:
+    """8 flags by plain substrings."""
+    has = F.upper(text(c)).contains
+    return {
+        "cte": has("WITH "),
+        "window": has(" OVER(") | has(" OVER ("),
+        "subquery": _n(F.upper(text(c)), "SELECT") > 1,
+        "case": has("CASE "),
+        "join": has("JOIN"),
+        "agg": has("SUM(") | has("COUNT(") | has("AVG(") | has("MAX(") | has("MIN("),
+        "like": has("LIKE "),
+        "having": has("HAVING "),
+    }
+
+
+def target_mode(kind: Column) -> Column:
+    """The failure that a made example of a class should show."""
+    modes = F.create_map(*[F.lit(x) for kv in TARGET_MODES.items() for x in kv])
+    return F.coalesce(F.try_element_at(modes, kind), F.lit("return_field_mismatch"))
+
+
 def difficulty_score(c) -> Column:
     low = F.lower(text(c))
     parts = [

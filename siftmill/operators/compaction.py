@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sqlfeat import over_compaction
-from . import schema_graph
+from . import coverage, schema_graph
 
 
 def matches(questions: DataFrame, columns: DataFrame) -> DataFrame:
@@ -76,6 +76,35 @@ def compact(questions: DataFrame, columns: DataFrame, fks: DataFrame) -> DataFra
     return out.select("question_id", "db", "status", ddl.alias("ddl"), n.alias("n_tables"), reduction.alias("reduction"))
 
 
+def compact_for_gold(questions: DataFrame, columns: DataFrame, fks: DataFrame) -> DataFrame:
+    """As ``compact`` for training rows (question_id, db, question, gold_sql): what the gold query names is a hit too.
+
+    A schema that still lacks a name or a join column of the gold query gives way to the full one.  Adds ``covered``.
+    """
+    found = matches(questions, columns)
+    gold = questions.select("question_id", coverage.words(F.col("gold_sql")).alias("gold_words"), "gold_sql")
+    named = lambda c: F.array_contains("gold_words", F.lower(c))
+    matched = found.join(gold.select("question_id", "gold_words"), "question_id").withColumns({"table_named": F.col("table_named") | named(F.col("tab")), "hit": F.col("hit") | (named(F.col("col")))}).drop("gold_words")
+    tables = selected(matched, fks)
+    kept = kept_columns(matched, tables)
+    own = kept.groupBy("question_id").agg(F.collect_set("tab").alias("own_tabs"), F.collect_set("col").alias("own_cols"))
+    short = _ddl(kept, ["question_id"]).select("question_id", F.col("ddl").alias("short_ddl"), F.col("n_tables").alias("short_tables"))
+    full = _ddl(columns, ["db"]).select("db", F.col("ddl").alias("full_ddl"), F.col("n_tables").alias("all_tables"))
+    names = columns.groupBy("db").agg(F.collect_set("tab").alias("tabs"), F.collect_set("col").alias("cols"))
+    d = questions.select("question_id", "db", "gold_sql").join(full, "db").join(names, "db").join(short, "question_id", "left").join(own, "question_id", "left")
+    whole = lambda tabs, cols: (F.size(coverage.missing(F.col("gold_sql"), F.col("tabs"), F.col("cols"), tabs, cols)) == 0) & coverage.missing_join_column(F.col("gold_sql"), cols).isNull()
+    fits = F.col("short_ddl").isNotNull() & F.coalesce(whole(F.col("own_tabs"), F.col("own_cols")), F.lit(False))
+    d = d.withColumn("fits", fits)
+    return d.select(
+        "question_id",
+        "db",
+        F.when(F.col("fits"), "success").otherwise("fallback").alias("status"),
+        F.when(F.col("fits"), F.col("short_ddl")).otherwise(F.col("full_ddl")).alias("ddl"),
+        F.when(F.col("fits"), F.col("short_tables")).otherwise(F.col("all_tables")).alias("n_tables"),
+        (F.col("fits") | whole(F.col("tabs"), F.col("cols"))).alias("covered"),
+    )
+
+
 def summary(compacted: DataFrame) -> DataFrame:
     """Counts and mean reduction by status."""
     return compacted.groupBy("status").agg(F.count("*").alias("n"), F.avg("reduction").alias("mean_reduction"))
