@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+#: What is a whole number for sure.
+_WHOLE = r"\bcount\s*\([^()]*\)|(?<![\w.)])\d+"
 _FORMATS = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss"}
 
 
@@ -14,7 +16,11 @@ def _outside_strings(sql: str, rewrite) -> str:
 
 
 def to_spark(sql: str) -> str:
-    """ILIKE for LIKE, IIF, LIMIT offset, STRFTIME, REAL casts and quoted identifiers."""
+    """ILIKE for LIKE, IIF, LIMIT offset, STRFTIME, REAL and TEXT casts, quoted identifiers, and functions by other names.
+
+    ``/`` between whole numbers cuts the fraction there; texts alone do not tell, so a quotient of two COUNTs or
+    whole literals is rewritten and any other keeps its fraction.
+    """
 
     def strftime(m: re.Match) -> str:
         form = m[1]
@@ -35,6 +41,13 @@ def to_spark(sql: str) -> str:
         x = re.sub(r"(?i)\biif\s*\(", "if(", x)
         x = re.sub(r"(?i)\blimit\s+(\d+)\s*,\s*(\d+)", r"LIMIT \2 OFFSET \1", x)
         x = re.sub(r"(?i)\bas\s+real\s*\)", "AS DOUBLE)", x)
+        x = re.sub(r"(?i)\bas\s+text\s*\)", "AS STRING)", x)
+        x = re.sub(r"(?i)\bprintf\s*\(", "format_string(", x)
+        x = re.sub(r"(?i)\bgroup_concat\s*\(\s*((?:distinct\s+)?[\w.]+)\s*\)", r"listagg(\1, ',')", x)
+        x = re.sub(r"(?i)\bgroup_concat\s*\(", "listagg(", x)
+        x = re.sub(r"(?i)\bjulianday\s*\(\s*([\w.]+)\s*\)", r"(unix_timestamp(cast(\1 as timestamp)) / 86400.0D + 2440587.5D)", x)
+        x = re.sub(r"(?i)\btotal\s*\(\s*([\w.]+)\s*\)", r"coalesce(sum(cast(\1 as double)), 0.0D)", x)
+        x = re.sub(rf"(?i)({_WHOLE})\s*/\s*({_WHOLE})(?![\w.])", r"(\1 div nullif(\2, 0))", x)
         return re.sub(r'"([^"]*)"', r"`\1`", x)
 
     return _outside_strings(sql, plain)

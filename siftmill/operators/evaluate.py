@@ -47,17 +47,26 @@ def normalize(sql: str | None) -> str:
     return " ".join(s.split(";")[0].split())
 
 
-def positional(df: DataFrame) -> DataFrame:
-    """Columns by position, numbers as doubles, so that 1 and 1.0 are equal."""
-    cols = [F.col(f"c{k}").cast("double").alias(f"c{k}") if isinstance(f.dataType, T.NumericType) else F.col(f"c{k}") for k, f in enumerate(df.schema)]
-    return df.toDF(*[f"c{k}" for k in range(len(df.columns))]).select(*cols)
+def positional(df: DataFrame, other: DataFrame) -> DataFrame:
+    """Columns by position; numbers as doubles where either side has fractions, so that 1 and 1.0 are equal, else exact."""
+
+    def number(k: int, f: T.StructField):
+        c, kinds = F.col(f"c{k}"), [f.dataType, other.schema[k].dataType]
+        if not all(isinstance(t, T.NumericType) for t in kinds):
+            return c.cast("double").alias(f"c{k}") if isinstance(f.dataType, T.NumericType) else c
+        if all(isinstance(t, T.IntegralType) for t in kinds):
+            return c.cast("long").alias(f"c{k}")
+        exact = all(isinstance(t, (T.IntegralType, T.DecimalType)) for t in kinds)
+        return c.cast("decimal(38,10)" if exact else "double").alias(f"c{k}")
+
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))]).select(*[number(k, f) for k, f in enumerate(df.schema)])
 
 
 def set_equal(a: DataFrame, b: DataFrame) -> bool:
     """Whether two results hold the same set of rows; two empty ones always do."""
     if len(a.columns) != len(b.columns):
         return a.isEmpty() and b.isEmpty()
-    x, y = positional(a), positional(b)
+    x, y = positional(a, b), positional(b, a)
     if [f.dataType for f in x.schema] != [f.dataType for f in y.schema]:
         x, y = (d.select(*[F.col(c).cast("string") for c in d.columns]) for d in (x, y))
     return x.subtract(y).isEmpty() and y.subtract(x).isEmpty()
@@ -97,6 +106,20 @@ class Evaluator:
             timer.cancel()
             self.spark.sparkContext.removeJobTag(tag)
 
+    def equal(self, a: DataFrame, b: DataFrame) -> bool | Exception:
+        """``set_equal`` under the timer; an error or the end of time is returned."""
+        tag = f"siftmill-equal-{id(a)}-{threading.get_ident()}"
+        timer = threading.Timer(2 * self.timeout, self.spark.sparkContext.cancelJobsWithTag, [tag])
+        self.spark.sparkContext.addJobTag(tag)
+        timer.start()
+        try:
+            return set_equal(a, b)
+        except Exception as e:
+            return e
+        finally:
+            timer.cancel()
+            self.spark.sparkContext.removeJobTag(tag)
+
     def one(self, row: dict) -> Record:
         gold, pred = normalize(row["gold_sql"]), normalize(row["predicted_sql"])
         out = Record(row["question_id"], row["db_id"], row["difficulty"], gold, pred)
@@ -106,11 +129,13 @@ class Evaluator:
             out.gold_error = str(error)[:200]
             return out
         got, error = self.run(pred)
+        same = False if error is not None else self.equal(want, got)
+        error = same if isinstance(same, Exception) else error
         if error is not None:
             out.exec_failed, out.pred_error, out.error_category = True, str(error)[:200], category(error)
-        elif set_equal(want, got):
+        elif same:
             out.correct = True
-        elif row.get("tied_sql") and (tied := self.run(normalize(row["tied_sql"])))[1] is None and set_equal(tied[0], got):
+        elif row.get("tied_sql") and (tied := self.run(normalize(row["tied_sql"])))[1] is None and self.equal(tied[0], got) is True:
             out.correct, out.matched_via = True, "tied_append"
         else:
             out.wrong_result = True
@@ -140,7 +165,7 @@ class Verifier(Evaluator):
         got, error = self.run(normalize(corrected))
         if error is not None:
             return "correction fails"
-        if not set_equal(want, got):
+        if self.equal(want, got) is not True:
             return "results differ"
         return "unchanged" if normalize(corrected).lower() == normalize(broken).lower() else "ok"
 
@@ -152,7 +177,7 @@ class Verifier(Evaluator):
         if error is not None:
             return "parent fails"
         got, error = self.run(normalize(broken))
-        return "ok" if error is not None or not set_equal(want, got) else "same result"
+        return "ok" if error is not None or self.equal(want, got) is not True else "same result"
 
     def repair_loop(self, rows: list[dict], propose, attempts: int = 2, accept=None) -> list[dict]:
         """Asks ``propose(row, attempt)`` for each pending row until ``accept`` takes it; one log entry a try.

@@ -23,10 +23,11 @@ def pad(ids: Column, length: Column, value: int) -> Column:
     return F.concat(ids, F.array_repeat(F.lit(value), F.greatest(length - F.size(ids), F.lit(0))))
 
 
-def pack(rows: DataFrame, shard: str, order: str, ids: str, most: int, eos: int) -> DataFrame:
+def pack(rows: DataFrame, shard: str, order: str, ids: str, most: int, eos: int, whole: bool = False) -> DataFrame:
     """Sequences joined by a masked end token up to ``most`` tokens: (shard, pack, members, input_ids, labels).
 
-    Greedy and in order inside a shard; rows stream through, and only the open pack is held.
+    Greedy and in order inside a shard; rows stream through, and only the open pack is held.  A sequence of more
+    tokens ends there, as the trainer's rows do; ``whole`` puts its further pieces in one after the other.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -37,8 +38,8 @@ def pack(rows: DataFrame, shard: str, order: str, ids: str, most: int, eos: int)
 
         for pdf in batches:
             out = []
-            for s, o, x in zip(pdf["shard"], pdf["ord"], pdf["ids"]):
-                x = list(x)[:most]
+            pieces = ((s, o, x[k : k + most]) for s, o, x in zip(pdf["shard"], pdf["ord"], map(list, pdf["ids"])) for k in range(0, max(1, len(x)) if whole else 1, most))
+            for s, o, x in pieces:
                 if s != at or len(tokens) + len(x) + bool(tokens) > most:
                     if members:
                         out.append(row())

@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 
 
 def result_signature(rows: DataFrame) -> DataFrame:
-    """One sha256 for a result as a multiset of rows: independent of order and of column names."""
+    """One sha256 for a result as a multiset of rows: independent of order and of column names.
+
+    Of the number of rows and the sums of the four quarters of each row's own sha256, so tasks send sums and no rows.
+    """
     cells = rows.toDF(*[f"c{k}" for k in range(len(rows.columns))])
-    return cells.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.to_json(F.struct(*cells.columns)))), "\n"), 256).alias("signature"))
+    digest = F.sha2(F.to_json(F.struct(*cells.columns), {"ignoreNullFields": "false"}), 256)
+    parts = [F.sum(F.conv(F.substring(digest, 1 + 16 * k, 16), 16, 10).cast("decimal(38,0)")) for k in range(4)]
+    return cells.agg(F.sha2(F.concat_ws("|", F.count("*"), *parts), 256).alias("signature"))
 
 
 def vote(candidates: DataFrame) -> DataFrame:

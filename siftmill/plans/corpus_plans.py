@@ -22,12 +22,12 @@ def _docs(spark, sf_dir):
 def dedup_exact(spark, sf_dir):
     """md5 of the lower-cased trimmed text, first row kept."""
     key = F.md5(F.lower(F.trim(F.coalesce("text", F.lit("")))).cast("binary"))
-    return dedup.first_of(_docs(spark, sf_dir).select("doc_id", "source", "text"), key, "doc_id").select("doc_id", "source")
+    return dedup.first_of(_docs(spark, sf_dir).select("doc_id", "source", key.alias("key")), F.col("key"), "doc_id").select("doc_id", "source")
 
 
 def dedup_ws(spark, sf_dir):
     """As D1 with white space folded."""
-    return dedup.first_of(_docs(spark, sf_dir).select("doc_id", "source", "text"), text.fingerprint("text"), "doc_id").select("doc_id", "source")
+    return dedup.first_of(_docs(spark, sf_dir).select("doc_id", "source", text.fingerprint("text").alias("key")), F.col("key"), "doc_id").select("doc_id", "source")
 
 
 def dedup_history(spark, sf_dir):
@@ -37,10 +37,10 @@ def dedup_history(spark, sf_dir):
 
 
 def first_seen(spark, sf_dir):
-    """Sources merged, first row of a key by source rank and position."""
-    d = _docs(spark, sf_dir).select("doc_id", "source", "lang", F.substring("text", 1, 1).alias("k"))
+    """Two sources merged, of equal folded texts the first by source rank and position."""
+    d = _docs(spark, sf_dir).select("doc_id", "source", "lang", text.fingerprint("text").alias("k"))
     two = d.where("lang <> 'en'").withColumn("rank", F.lit(0)).unionByName(d.withColumn("rank", F.lit(1)))
-    return dedup.first_of(two, F.struct("source", "k"), "rank", "doc_id").select("doc_id", "source", F.col("rank").cast("long").alias("rank"))
+    return dedup.first_of(two, F.col("k"), "rank", "doc_id").select("doc_id", "source", F.col("rank").cast("long").alias("rank"))
 
 
 def dedup_counters(spark, sf_dir):
@@ -109,11 +109,24 @@ def routing_counts(spark, sf_dir):
 
 def cross_pool_leak(spark, sf_dir):
     """All pairs of a user's and an assistant's turn that are at least 0.8 similar."""
-    d = table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("id"), "role", text.folded("text").alias("t"))
+    d = _turns(spark, sf_dir)
     pairs = dedup.cross_pairs(*(d.where(F.col("role") == p).select("id", "t") for p in ("user", "assistant")))
     return pairs.select(F.col("a").alias("user_id"), F.col("b").alias("assistant_id"), F.round("ratio", 3).alias("ratio")).distinct()
 
 
+def _turns(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", F.concat_ws("/", "conv_id", "turn").alias("id"), "role", text.folded("text").alias("t"))
+
+
+def edited_pool_leak(spark, sf_dir):
+    """The users' turns against the assistants' and, for every tenth conversation, the users' without their end."""
+    d = _turns(spark, sf_dir)
+    user = d.where("role = 'user'")
+    cut = user.where("conv_id % 10 = 0").select(F.concat(F.lit("cut/"), "id").alias("id"), F.expr("trim(substring(t, 1, length(t) - 10))").alias("t"))
+    pairs = dedup.cross_pairs(user.select("id", "t"), d.where("role = 'assistant'").select("id", "t").unionByName(cut))
+    return pairs.select("a", "b", F.round("ratio", 3).alias("ratio")).distinct()
+
+
 def neardup_greedy(spark, sf_dir):
     """D8 over whole benchmark items."""
     return dedup.greedy_near_dedup(table(spark, sf_dir, "benchmark").withColumn("pool", F.lit("items")), "pool", "item_id", "text")
@@ -265,7 +278,7 @@ SELECT doc_id, array_to_string(list_transform(range(1, len(x) + 1), lambda i: CA
 
 def packed(spark, sf_dir):
     d = _docs(spark, sf_dir).select("doc_id", (F.col("doc_id") % 8).alias("shard"), _ids().alias("ids"))
-    return pack.pack(d, "shard", "doc_id", "ids", 4096, 2)
+    return pack.pack(d, "shard", "doc_id", "ids", 4096, 2, whole=True)
 
 
 def padded(spark, sf_dir):
@@ -282,13 +295,14 @@ QUERIES = {
     "dedup_exact": (dedup_exact, "SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY md5(lower(trim(coalesce(text, '')))) ORDER BY doc_id) AS k FROM documents) WHERE k = 1"),
     "dedup_ws": (dedup_ws, f"SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY md5({_FOLDED}) ORDER BY doc_id) AS k FROM documents) WHERE k = 1"),
     "dedup_history": (dedup_history, f"WITH d AS (SELECT doc_id, lang, md5({_FOLDED}) AS fp FROM documents), h AS (SELECT DISTINCT fp FROM d WHERE lang = 'en'), b AS (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY doc_id) AS k FROM d WHERE lang <> 'en') SELECT doc_id, CASE WHEN h.fp IS NOT NULL THEN 'history' WHEN k > 1 THEN 'batch' END AS reject_reason FROM b LEFT JOIN h USING (fp)"),
-    "first_seen": (first_seen, "WITH t AS (SELECT doc_id, source, substr(text, 1, 1) AS c, 0 AS rank FROM documents WHERE lang <> 'en' UNION ALL SELECT doc_id, source, substr(text, 1, 1), 1 FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY source, c ORDER BY rank, doc_id) AS k FROM t) SELECT doc_id, source, CAST(rank AS BIGINT) AS rank FROM r WHERE k = 1"),
+    "first_seen": (first_seen, f"WITH t AS (SELECT doc_id, source, md5({_FOLDED}) AS c, 0 AS rank FROM documents WHERE lang <> 'en' UNION ALL SELECT doc_id, source, md5({_FOLDED}), 1 FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY rank, doc_id) AS k FROM t) SELECT doc_id, source, CAST(rank AS BIGINT) AS rank FROM r WHERE k = 1"),
     "dedup_counters": (dedup_counters, f"WITH d AS (SELECT doc_id, lang, md5({_FOLDED}) AS fp FROM documents), h AS (SELECT DISTINCT fp FROM d WHERE lang = 'en'), b AS (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY doc_id) AS k FROM d WHERE lang <> 'en'), r AS (SELECT CASE WHEN h.fp IS NOT NULL THEN 'history' WHEN k > 1 THEN 'batch' END AS x FROM b LEFT JOIN h USING (fp)) SELECT {_N} AS seen, CAST(count(*) FILTER (x = 'history') AS BIGINT) AS history, CAST(count(*) FILTER (x = 'batch') AS BIGINT) AS batch, CAST(count(*) FILTER (x IS NULL) AS BIGINT) AS kept FROM r"),
     "jaccard_pairs": (jaccard_pairs, "WITH b AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9_\\s]', ' ', 'g'), '\\s+'), lambda x: length(x) > 2)) AS t FROM benchmark) SELECT a.item_id, CASE WHEN len(a.t) = 0 OR len(c.t) = 0 THEN 0.0::DOUBLE ELSE CAST(len(list_intersect(a.t, c.t)) AS DOUBLE) / len(list_distinct(list_concat(a.t, c.t))) END AS overlap FROM b a JOIN b c ON c.item_id = a.item_id + 1"),
     "overlap_benchmark": (overlap_benchmark, _OVERLAP_SQL),
     "contamination_route": (contamination_route, f"WITH {_ROUTE} SELECT * FROM p"),
     "routing_counts": (routing_counts, f"WITH {_ROUTE} SELECT pool, reason, {_N} AS n FROM p GROUP BY pool, reason"),
     "cross_pool_leak": (cross_pool_leak, None),
+    "edited_pool_leak": (edited_pool_leak, None),
     "neardup_greedy": (neardup_greedy, None),
     "stratified_split": (stratified_split, f"WITH r AS (SELECT doc_id, row_number() OVER (PARTITION BY source, lang ORDER BY {_H}, doc_id) AS k, count(*) OVER (PARTITION BY source, lang) AS n FROM documents) SELECT doc_id, CASE WHEN n > 1 AND k <= greatest(1, CAST(floor(n * 0.1::DOUBLE) AS BIGINT)) THEN 'dev' ELSE 'train' END AS split FROM r"),
     "quota_shortfall": (quota_shortfall, f"WITH q(lang, quota) AS (VALUES ('en', 700), ('fr', 150), ('de', 500), ('xx', 10)), h AS (SELECT lang, {_N} AS have FROM documents GROUP BY lang) SELECT q.lang, CAST(quota AS BIGINT) AS quota, coalesce(have, 0) AS have, greatest(0, quota - coalesce(have, 0)) AS missing FROM q LEFT JOIN h USING (lang)"),

@@ -39,6 +39,15 @@ SURFACE = {
     "exists": ("SELECT s_suppkey FROM supplier WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity > 45)", None),
     "text_functions": ("SELECT c_custkey, SUBSTR(c_mktsegment, 1, 3) AS head, REPLACE(c_mktsegment, 'A', '*') AS masked, UPPER(c_mktsegment) || '-' || CAST(c_nationkey AS STRING) AS tag, INSTR(c_mktsegment, 'I') AS at FROM customer", "SELECT c_custkey, SUBSTR(c_mktsegment, 1, 3) AS head, REPLACE(c_mktsegment, 'A', '*') AS masked, UPPER(c_mktsegment) || '-' || CAST(c_nationkey AS VARCHAR) AS tag, CAST(INSTR(c_mktsegment, 'I') AS INTEGER) AS at FROM customer"),
     "real_ratio": ("SELECT l_returnflag, CAST(COUNT(*) AS REAL) / 3 AS third FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, CAST(COUNT(*) AS DOUBLE) / 3 AS third FROM lineitem GROUP BY l_returnflag"),
+    "whole_quotient": (
+        "SELECT o_orderstatus, COUNT(*) / COUNT(DISTINCT o_custkey) AS per, 7 / 2 AS three, COUNT(*) / 4 AS quarter, CAST(COUNT(*) AS REAL) / 4 AS part FROM orders GROUP BY o_orderstatus",
+        "SELECT o_orderstatus, CAST(COUNT(*) // COUNT(DISTINCT o_custkey) AS BIGINT) AS per, CAST(3 AS BIGINT) AS three, CAST(COUNT(*) // 4 AS BIGINT) AS quarter, COUNT(*)::DOUBLE / 4 AS part FROM orders GROUP BY o_orderstatus",
+    ),
+    "other_names": (
+        "SELECT n_regionkey, GROUP_CONCAT(DISTINCT n_regionkey) AS keys, PRINTF('%05d', n_regionkey) AS padded, TOTAL(n_nationkey) AS total, IFNULL(NULL, CAST(n_regionkey AS TEXT)) AS name, COUNT(\"n_name\") AS n FROM `nation` GROUP BY n_regionkey",
+        "SELECT n_regionkey, CAST(n_regionkey AS VARCHAR) AS keys, printf('%05d', n_regionkey) AS padded, sum(n_nationkey)::DOUBLE AS total, CAST(n_regionkey AS VARCHAR) AS name, CAST(count(n_name) AS BIGINT) AS n FROM nation GROUP BY n_regionkey",
+    ),
+    "julian_days": ("SELECT o_orderkey, JULIANDAY(o_orderdate) AS day FROM orders", "SELECT o_orderkey, epoch(o_orderdate::TIMESTAMP) / 86400.0::DOUBLE + 2440587.5::DOUBLE AS day FROM orders"),
     "join_aggregate": (
         "SELECT r_name, o_orderstatus, COUNT(*) AS n FROM region JOIN nation ON r_regionkey = n_regionkey JOIN customer ON n_nationkey = c_nationkey JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey GROUP BY r_name, o_orderstatus",
         "SELECT r_name, o_orderstatus, CAST(COUNT(*) AS BIGINT) AS n FROM region JOIN nation ON r_regionkey = n_regionkey JOIN customer ON n_nationkey = c_nationkey JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey GROUP BY r_name, o_orderstatus",

@@ -36,7 +36,10 @@ def test_against_duckdb(spark, sf_dir, name):
 
 @pytest.mark.parametrize("name", [n for n, (_, sql) in QUERIES.items() if not sql])
 def test_runs(spark, sf_dir, name):
-    assert QUERIES[name][0](spark, sf_dir).count() >= 0
+    """What SQL cannot say is compared with brute force in test_brute.py; here: rows with a stable schema."""
+    got = QUERIES[name][0](spark, sf_dir)
+    none = name == "cross_pool_leak"  # no turn of these tables leaks; edited_pool_leak has pairs
+    assert (got.count() > 0) != none and len(set(got.columns)) == len(got.columns)
 
 
 def test_entry(spark):
