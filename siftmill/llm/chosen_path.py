@@ -59,6 +59,7 @@ class _Words(dict):
 
 
 WORDS = _Words()
+shared.FORGET.append(WORDS.clear)
 
 
 def shingles(text: bytes, width: int) -> np.ndarray:

@@ -22,7 +22,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,21 +72,24 @@ def splitting_tree(quotas: np.ndarray, shards: int, rng: np.random.Generator) ->
     return out
 
 
-def _fill(pdf: pd.DataFrame) -> pd.DataFrame:
+def _fill(block: pa.Table) -> pa.Table:
     """Documents of the block in which the target falls: in permuted order while they fit, then the largest that still fit."""
-    pdf = pdf.sort_values(["order", "doc_id"]).reset_index(drop=True)
-    gap, chosen = float(pdf["gap"].iloc[0]) if len(pdf) else 0.0, []
-    upto = int(np.searchsorted(pdf["size"].cumsum().to_numpy(), gap, side="right"))
-    chosen += range(upto)
-    gap -= float(pdf["size"].iloc[:upto].sum())
-    for i in pdf.iloc[upto:].sort_values(["size", "order"], ascending=[False, True], kind="stable").index:
-        if pdf["size"].iloc[i] <= gap:
+    block = block.sort_by([("order", "ascending"), ("doc_id", "ascending")])
+    size, order = block.column("size").to_numpy(), block.column("order").to_numpy()
+    gap = float(block.column("gap")[0].as_py()) if len(size) else 0.0
+    upto = int(np.searchsorted(size.cumsum(), gap, side="right"))
+    chosen = list(range(upto))
+    gap -= float(size[:upto].sum())
+    rest = []
+    for i in (upto + np.lexsort((order[upto:], -size[upto:]))).tolist():
+        if size[i] <= gap:
             chosen.append(i)
-            gap -= float(pdf["size"].iloc[i])
-    rest = pdf.drop(index=chosen)
-    if gap > 0 and len(rest) and (least := rest["size"].idxmin()) is not None and rest["size"].loc[least] < 2 * gap:
+            gap -= float(size[i])
+        else:
+            rest.append(i)
+    if gap > 0 and rest and size[least := min(rest, key=lambda i: (size[i], i))] < 2 * gap:
         chosen.append(least)
-    return pdf.loc[chosen, ["doc_id", "none"]]
+    return block.select(["doc_id", "none"]).take(pa.array(chosen, pa.int64()))
 
 
 def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, shards: int = 64, seed: int = SEED) -> DataFrame:
@@ -113,7 +116,7 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = (1, 2
     by_block = shared.saved(by_block.withColumn("last", F.when(F.col("upto") <= F.col("rest"), 2).when(F.col("upto") - F.col("words") < F.col("rest"), 1).otherwise(0)), f"{base}/blocks")
     edge = shared.saved(by_block.where("last = 1").select("mix_key", "block", (F.col("rest") - (F.col("upto") - F.col("words"))).alias("gap")), f"{base}/edge")
     edge_rows = keyed.join(of_source, "mix_key").withColumn("block", block).join(shared.small_side(edge, f"{base}/edge"), ["mix_key", "block"]).select("mix_key", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("none"), "size", "gap", F.xxhash64(F.lit(seed + 1), "doc_id").alias("order"))
-    picked = edge_rows.groupBy("mix_key").applyInPandas(_fill, "doc_id long, none boolean").distinct()
+    picked = edge_rows.groupBy("mix_key").applyInArrow(_fill, "doc_id long, none boolean").distinct()
     picked = shared.saved(picked.select(F.when(~F.col("none"), F.col("doc_id")).alias("picked_id"), F.lit(True).alias("picked")), f"{base}/picked")
 
     # Block copies, dealt to the shards by the tree's quotas.

@@ -85,8 +85,14 @@ def free(spark: SparkSession) -> None:
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
+#: Called at a task's end: forgets what a worker remembers and a later task soon has again.
+FORGET: list = []
+
+
 def _give_back() -> None:
     """Free memory goes back to the system; workers live on for other stages."""
+    for forget in FORGET:
+        forget()
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):

@@ -63,6 +63,11 @@ class Field:
     def __setstate__(self, state):
         self.__init__(*state)
 
+    def forget(self) -> None:
+        """A worker keeps the field for later tasks, but not what it remembers of texts."""
+        for kept in (self.seen, self.powers, self.plain):
+            kept.clear()
+
     def emission(self, token: bytes) -> float:
         e = self.seen.get(token)
         if e is None:
@@ -316,6 +321,7 @@ def score(docs: DataFrame, field: Field) -> DataFrame:
     def run(batches):
         f = model.value
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
+        f.forget()
         for batch in batches:
             scores, spans = [], []
             for text in shared.utf8_rows(batch.column(1)):
@@ -324,6 +330,7 @@ def score(docs: DataFrame, field: Field) -> DataFrame:
                 scores.append(f.score(found))
                 spans.append(f.spans(text, at, p) if len(at) else [])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(spans, kind)], names=["doc_id", "score", "spans"])
+        f.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).transform(shared.in_arrow, run, "doc_id long, score double, spans array<struct<start:int,end:int,p:double>>")
 
