@@ -190,6 +190,49 @@ def test_pipeline(spark, sf_dir):
     assert {"doc_id", "n_tokens"} <= set(docs.columns)
 
 
+def test_pipeline_stages_against_brute_force(spark, sf_dir):
+    """Each stage on all documents: which rows stay, what the mix takes, and which tokens come out."""
+    from tokenizers import Tokenizer
+
+    from siftmill.llm import bpe
+
+    from .test_near_dedup import brute
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    stages = dict(corpus_pipeline.STAGES)
+
+    more = sf_dir.replace("sf0.001", "sf0.01")  # eleven toxic labels of the small tables teach nothing
+    label = {r.doc_id: r.toxic for r in spark.read.parquet(f"{more}/labels.parquet").collect()}
+    kept = {r.doc_id for r in stages["toxicity"](spark, spark.read.parquet(f"{more}/documents.parquet"), more).collect()}
+    clean, toxic = ([i for i, y in label.items() if y == k and zlib.crc32(str(i).encode()) % 5 == 0] for k in (0, 1))
+    assert len(toxic) >= 5 and len(kept & set(clean)) >= 0.97 * len(clean) and 2 * len(kept & set(toxic)) < len(toxic)  # of six held-out ones
+
+    bare = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t)
+    best = {}
+    for i, t in text.items():
+        best[bare(t)] = min(best.get(bare(t), (0, i)), (-len(t), i)) if bare(t) in best else (-len(t), i)
+    assert {r.doc_id for r in stages["exact_dedup"](spark, docs, sf_dir).collect()} == {i for _, i in best.values()}
+
+    want = brute(list(text.items()), 80)
+    assert {r.doc_id for r in stages["near_dedup"](spark, docs, sf_dir).collect()} == {i for i, (_, c) in want.items() if c == i}
+
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t))
+    mixed = Counter(r.doc_id for r in stages["mixing"](spark, docs, sf_dir).collect())
+    source = {r.doc_id: r.source for r in docs.collect()}
+    names = sorted(set(source.values()))
+    sizes = [sum(words(t) for i, t in text.items() if source[i] == s) for s in names]
+    for s, goal in zip(names, mixing.targets(sizes, [(1, 2, 3)[k % 3] for k in range(len(names))])):
+        longest = max(words(t) for i, t in text.items() if source[i] == s)
+        assert abs(sum(n * words(text[i]) for i, n in mixed.items() if source[i] == s) - goal) <= longest
+    assert max(mixed.values()) <= 3
+
+    library = Tokenizer.from_file(bpe.default_tokenizer())
+    for r in stages["bpe"](spark, docs, sf_dir).collect():
+        ids = library.encode(text[r.doc_id], add_special_tokens=False).ids
+        assert np.frombuffer(r.ids, "<u4").tolist() == ids and r.decoded_chars == len(library.decode(ids, skip_special_tokens=False))
+
+
 def _texts_of_host(spark, bodies):
     rows = [(k, f"http://h.example/{k}", f"<html><body>{b}</body></html>") for k, b in enumerate(bodies)]
     got = html_extract.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
