@@ -311,7 +311,9 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: in
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id").where((F.length("text") > 0) & (F.length("text") <= max_chars)).select("doc_id", "label", "text")
     rows = sorted(sample.collect(), key=lambda r: (r.doc_id, r.text))
     side = [[r.text.encode() for r in rows if r.label == y] for y in (0, 1)]
-    return fit(side[1], side[0], rate, per_class, windows)
+    field = fit(side[1], side[0], rate, per_class, windows)
+    shared._give_back()  # the driver needs the sample no more
+    return field
 
 
 def score(docs: DataFrame, field: Field) -> DataFrame:
