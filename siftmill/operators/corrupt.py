@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -103,3 +103,30 @@ def wrong_column(sql: str, seed, columns: list[str]) -> str:
 def by_row(function, *args):
     """One of the corruptions above as a column of (sql, seed), in Arrow batches."""
     return F.pandas_udf(lambda s, k: pd.Series([function(x or "", i, *args) for x, i in zip(s, k)], dtype=object), T.StringType())
+
+
+def compatible(sql: Column) -> dict[str, tuple[Column, Column]]:
+    """Transform -> whether a query has what it changes, and the changed text."""
+    up = F.upper(sql)
+    return {
+        "count_distinct_to_count": (up.contains("COUNT(DISTINCT"), count_distinct_to_count(sql)),
+        "count_to_count_star": (up.contains("COUNT("), count_to_star(sql)),
+        "remove_distinct": (up.contains("DISTINCT"), remove_distinct(sql)),
+        "wrong_order_direction": (up.contains(" ASC") | up.contains(" DESC"), flip_order(sql)),
+        "change_limit": (up.contains("LIMIT"), change_limit(sql)),
+        "remove_backticks": (sql.contains("`"), remove_backticks(sql)),
+    }
+
+
+def examples(sources: DataFrame, key: str, sql: str, quota: int, attempts: int = 3) -> DataFrame:
+    """(key, transform, broken, corrected): up to ``quota`` examples of each transform.
+
+    Compatible sources are tried in an order that follows from a hash of transform and key, ``attempts`` times the quota
+    at most, and those count that the transform changes.  Both limits are the feature; they cut within tasks first.
+    """
+    made = F.array(*[F.when(fits, F.struct(F.lit(name).alias("transform"), broken.alias("broken"))) for name, (fits, broken) in compatible(F.col(sql)).items()])
+    d = sources.select(F.col(key), F.col(sql).alias("corrected"), F.explode(F.array_compact(made)).alias("m")).select(key, "corrected", "m.*")
+    w = Window.partitionBy("transform").orderBy(F.md5(F.concat_ws("/", "transform", F.col(key).cast("string")).cast("binary")), key)
+    tried = d.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= quota * attempts)
+    kept = tried.where(F.col("broken") != F.col("corrected")).withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= quota)
+    return kept.select(key, "transform", "broken", "corrected")

@@ -123,3 +123,10 @@ def greedy_near_dedup(rows: DataFrame, pool: str, order: str, text: str, thresho
     part = rows.select(F.col(pool).cast("string").alias("pool"), F.col(order).cast("long").alias("ord"), F.coalesce(F.lower(F.col(text)), F.lit("")).alias("txt"))
     part = part.repartition("pool").sortWithinPartitions("pool", "ord")
     return part.mapInPandas(run, "pool string, ord long, kept boolean, similar_to long")
+
+
+def example_similarity(a: tuple[Column, Column, Column], b: tuple[Column, Column, Column]) -> Column:
+    """Of two examples (question, broken query, corrected query): 0.4, 0.3 and 0.3 of their likeness, case and spaces folded."""
+    fold = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    parts = [sequence_ratio(fold(x), fold(y)) * w for x, y, w in zip(a, b, (0.4, 0.3, 0.3))]
+    return parts[0] + parts[1] + parts[2]

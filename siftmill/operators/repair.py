@@ -74,3 +74,18 @@ def candidates(failed: DataFrame, columns: DataFrame, threshold: float = 0.6, to
 def repairability(classified: DataFrame, least: float = 0.5) -> DataFrame:
     """Mean repairability and the number of repairable rows by class."""
     return classified.groupBy("failure_type").agg(F.count("*").alias("n"), F.avg("repairability").alias("mean"), F.count_if(F.col("repairability") >= least).alias("repairable"))
+
+
+def from_log(log: DataFrame, failures: DataFrame, passed: Column) -> DataFrame:
+    """Each row of a repair log (db_id, question_id, final_accepted, final_sql, failure_type) with its ``outcome``.
+
+    Outcomes in this order: ``not accepted``, ``no failure`` (none of that db_id and question_id), ``empty`` text,
+    ``not verified`` (``passed``, over the columns of both), else ``example``, whose ``corrected_sql``, ``failure_type``
+    (the log's, else the failure's ``inferred_type``) and ``example_id`` make a training example.  Failures have one row
+    of each db_id and question_id, and beside these no column of the log's; null ids meet no failure.
+    """
+    seen = failures.withColumn("failed", F.lit(True))
+    d = log.join(seen, ["db_id", "question_id"], "left").withColumn("corrected_sql", F.trim(F.coalesce("final_sql", F.lit(""))))
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    outcome = F.when(no(F.col("final_accepted")), "not accepted").when(no(F.col("failed")), "no failure").when(F.col("corrected_sql") == "", "empty").when(no(passed), "not verified").otherwise("example")
+    return d.withColumns({"outcome": outcome, "failure_type": F.coalesce("failure_type", "inferred_type"), "example_id": F.concat_ws("_", F.lit("repair"), "db_id", F.col("question_id").cast("string"))}).drop("failed")

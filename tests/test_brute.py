@@ -7,12 +7,15 @@ from collections import Counter, defaultdict
 import duckdb
 import pytest
 
-from siftmill.operators import relevance, sqltext
+from siftmill.operators import relevance, report, sqltext
 from siftmill.operators.evaluate import set_equal
 from siftmill.operators.pack import pack
+from siftmill.operators.usage import schema_usage
 from siftmill.plans.catalog import QUERIES
 from siftmill.plans.fixtures import EVALS, FK_ROWS, SQLS
 from siftmill.plans.guard_plans import _WANT
+from siftmill.plans.report_plans import versions
+from siftmill.sources import paths
 
 
 @pytest.fixture(scope="module")
@@ -186,3 +189,30 @@ def test_large_whole_numbers_differ(spark):
     q = spark.sql
     assert not set_equal(q("SELECT 9007199254740992L AS a"), q("SELECT 9007199254740993L AS a"))
     assert set_equal(q("SELECT 3 AS a"), q("SELECT CAST(3 AS DECIMAL(9,2)) AS b"))
+
+
+def test_example_similarity(spark, sf_dir):
+    fold = lambda t: " ".join(t.lower().split())
+    want = {r.doc_id: sum(w * ratio(fold(r[f"{c}1"]), fold(r[f"{c}2"])) for c, w in zip("qbc", (0.4, 0.3, 0.3))) for r in versions(spark, sf_dir).collect()}
+    got = {r.doc_id: r.similarity for r in run(spark, sf_dir, "example_similarity")}
+    assert got == pytest.approx(want, abs=1e-6) and len(set(got.values())) > 3
+
+
+def test_schema_usage_of_odd_rows(spark):
+    cat = spark.createDataFrame([("d", "T", "A"), ("d", "u", "a"), ("d", "u", "b c")], "db string, tab string, col string")
+    rows = [(1, "d", None), (2, "d", ""), (3, None, "SELECT a FROM t"), (4, "d", "SELECT A FROM t"), (5, "d", "SELECT a FROM t JOIN u ON t.a = u.a"), (6, "d", "SELECT u.`b c`, s.k FROM u JOIN (SELECT a AS k FROM t) AS s ON 1 = 1")]
+    out = schema_usage(spark.createDataFrame(rows, "known_db long, db string, sql string"), cat).collect()
+    assert {r.known_db: r.issues for r in out} == {1: ["empty"], 2: ["empty"], 3: ["table:t", "unresolved:a"], 4: [], 5: ["ambiguous:a"], 6: ["ambiguous:a"]}
+    assert schema_usage(spark.createDataFrame([], "id long, db string, sql string"), cat).count() == 0
+
+
+def test_report_files_and_paths(spark, sf_dir, tmp_path):
+    cells = spark.createDataFrame([(0, 1, ["a<b", None]), (0, 0, ["x", "y"])], "section int, pos long, cells array<string>")
+    report.write_lines(report.markdown(cells), str(tmp_path / "md"))
+    assert next((tmp_path / "md").glob("part-*")).read_text() == "| x | y |\n|-|-|\n| a<b |  |\n"
+    assert report.html(cells).where("pos = 1").first().line == "<tr><td>a&lt;b</td><td></td></tr>"
+    for name in ("b/q.db", "a/q.db", "c/q.sqlite", "r/r.sqlite", "a/r.sqlite"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("")
+    found = lambda n: (p := paths.find(spark, str(tmp_path), n)) and p.removeprefix("file:").removeprefix(str(tmp_path) + "/")
+    assert [found(n) for n in ("q", "r", "none", "*")] == ["c/q.sqlite", "r/r.sqlite", None, None]
