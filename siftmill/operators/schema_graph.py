@@ -57,3 +57,9 @@ def column_score(name: Column, is_pk: Column, is_fk: Column, in_sql: Column, tex
 def top_columns(scored: DataFrame, most: int) -> DataFrame:
     w = Window.partitionBy("table_name").orderBy(F.desc("score"), "column_name")
     return scored.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= most)
+
+
+def schema_id(tables: Column, required: list[tuple[str, tuple[str, ...]]], signature: Column | None = None) -> Column:
+    """The id that a known ``signature`` has, else the first id whose distinctive tables are all there, else ``unknown``; ``tables`` is lower-cased."""
+    by_tables = [F.when(F.size(F.array_except(F.array(*map(F.lit, need)), tables)) == 0, name) for name, need in required]
+    return F.coalesce(*([] if signature is None else [signature]), *by_tables, F.lit("unknown"))

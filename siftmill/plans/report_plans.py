@@ -1,15 +1,16 @@
-"""Queries over schema usage, repair logs, made examples, example similarity, reports, manifests and paths."""
+"""Queries over schema usage, repair logs, made examples, example similarity, reports, sinks, paths and selections."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions import sqlfeat
-from ..operators import corrupt, dedup, repair, report, usage
-from ..sources import paths
+from ..operators import corrupt, dedup, relevance, repair, report, sample, schema_graph, sqltext, usage
+from ..sources import jsonl, paths
 from .fixtures import EVALS, SQLS, evals, sqls, table
 from .guard_plans import _WANT, _catalogue
 from .metric_plans import _CATEGORY, _COUNTS, _if, _pct
+from .schema_plans import _TABLE_SQL, _contexts, _scored_catalogue
 
 _N = "CAST(count(*) AS BIGINT)"
 
@@ -137,6 +138,68 @@ def table_paths(spark, sf_dir):
     return spark.createDataFrame([(n, p and p.rpartition("/")[2]) for n, p in found], "name string, file string")
 
 
+_POOLS = "CASE WHEN doc_id % 7 = 0 THEN 'rejected' WHEN doc_id % 3 = 0 THEN 'clean' ELSE 'internal' END"
+
+
+def pool_sinks(spark, sf_dir):
+    """Pools written and read again: a clean row is in two folders, a rejected one in its own."""
+    d = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_POOLS} AS pool", "CASE WHEN doc_id % 10 = 0 THEN 'dev' ELSE 'train' END AS split", "text AS _private")
+    return jsonl.pools_round_trip(spark, d, "doc_id long, pool string, split string").select("folder", "split", "doc_id")
+
+
+_POOLS_SQL = f"""WITH d AS (SELECT doc_id, {_POOLS} AS pool, CASE WHEN doc_id % 10 = 0 THEN 'dev' ELSE 'train' END AS split FROM documents)
+SELECT 'internal' AS folder, split, doc_id FROM d WHERE pool <> 'rejected' UNION ALL SELECT 'clean', split, doc_id FROM d WHERE pool = 'clean' UNION ALL SELECT 'rejected', split, doc_id FROM d WHERE pool = 'rejected'"""
+
+
+def last_by_key(spark, sf_dir):
+    """Of rows with one key the last wins."""
+    return jsonl.read_map(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), "conv_id", "turn")
+
+
+def selected_tables(spark, sf_dir):
+    """The best tables of each question, four at most, of a score of 1 or more."""
+    scored = relevance.table_scores(_contexts(spark, sf_dir), _scored_catalogue(spark)).where("score >= 1")
+    return sample.ranked(scored, ["question_id"], F.desc("score"), "tab").where("rk <= 4").select("question_id", "tab", F.col("rk").cast("long").alias("rk"))
+
+
+def ddl_layout(spark, sf_dir):
+    """One column or constraint a line."""
+    ddl = F.concat(F.lit("create table "), F.col("source"), F.lit(" (id INTEGER,  price DECIMAL(10, 2) , CHECK (id IN (1,2)), PRIMARY KEY (id)); CREATE TABLE b(x TEXT)"))
+    return table(spark, sf_dir, "documents").select("doc_id", sqltext.format_of(ddl).alias("ddl"))
+
+
+_LAYOUT_SQL = r"""SELECT doc_id, replace('create table ' || source || ' (@    id INTEGER,@    price DECIMAL(10, 2),@    CHECK (id IN (1,2)),@    PRIMARY KEY (id)@);@@CREATE TABLE b (@    x TEXT@);', '@', chr(10)) AS ddl FROM documents"""
+
+_REQUIRED = [("shop", ("customer", "orders")), ("world", ("nation", "region")), ("parts", ("part",))]
+_LINES = ["customer(a)", "orders(b)", "nation(c)", "region(d)", "part(e)"]
+
+
+def schema_ids(spark, sf_dir):
+    """Id by the whole signature where it is known, else by distinctive tables."""
+    i = F.col("doc_id")
+    lines = F.filter(F.array(*map(F.lit, _LINES)), lambda x: (F.ascii(x) * 5 + i) % 3 != 0)
+    known = spark.createDataFrame([("customer,part", "known"), ("", "empty")], "signature string, known_id string")
+    d = table(spark, sf_dir, "documents").select(i, F.transform(lines, lambda x: F.substring_index(x, "(", 1)).alias("tables"))
+    d = d.withColumn("signature", F.array_join(F.array_sort("tables"), ",")).join(F.broadcast(known), "signature", "left")  # two literal rows
+    return d.select("doc_id", schema_graph.schema_id(F.col("tables"), _REQUIRED, F.col("known_id")).alias("schema_id"))
+
+
+_IDS_SQL = f"""WITH d AS (SELECT doc_id, list_filter([{', '.join(f"'{x[:-3]}'" for x in _LINES)}], lambda x: (ascii(x) * 5 + doc_id) % 3 <> 0) AS t FROM documents)
+SELECT doc_id, CASE array_to_string(list_sort(t), ',') WHEN 'customer,part' THEN 'known' WHEN '' THEN 'empty' ELSE CASE """ + " ".join(f"WHEN list_has_all(t, {list(need)!r}) THEN '{name}'" for name, need in _REQUIRED) + " ELSE 'unknown' END END AS schema_id FROM d"
+
+
+def capped_features(spark, sf_dir):
+    """The first rows with a join and no CASE, and the first with a subquery, up to a cap of each; of equal texts the first counts."""
+    d = dedup.first_of(sqls(spark, sf_dir), F.md5(F.lower(F.trim("sql")).cast("binary")), F.col("doc_id"))
+    up = F.upper("sql")
+    kind = F.when(up.contains("JOIN") & ~up.contains("CASE"), "join").when((F.length(up) - F.length(F.replace(up, F.lit("SELECT"), F.lit("")))) > 6, "subquery")
+    return sample.ranked(d.withColumn("kind", kind).where("kind is not null"), ["kind"], "doc_id").where((F.col("kind") == "join") & (F.col("rk") <= 30) | (F.col("rk") <= 10)).select("doc_id", "kind")
+
+
+_CAPPED_SQL = f"""WITH {SQLS}, d AS (SELECT min(doc_id) AS doc_id, arg_min(sql, doc_id) AS sql FROM sqls GROUP BY md5(lower(trim(sql)))),
+k AS (SELECT doc_id, CASE WHEN contains(upper(sql), 'JOIN') AND NOT contains(upper(sql), 'CASE') THEN 'join' WHEN len(regexp_extract_all(upper(sql), 'SELECT')) > 1 THEN 'subquery' END AS kind FROM d)
+SELECT doc_id, kind FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY doc_id) AS rk FROM k WHERE kind IS NOT NULL) WHERE rk <= CASE kind WHEN 'join' THEN 30 ELSE 10 END"""
+
 QUERIES = {
     "schema_usage": (schema_usage, _USAGE_SQL),
     "repair_log": (repair_log, _LOG_SQL),
@@ -145,4 +208,10 @@ QUERIES = {
     "evaluation_report": (evaluation_report, _REPORT_SQL),
     "dataset_manifest": (dataset_manifest, _MANIFEST_SQL),
     "table_paths": (table_paths, "SELECT * FROM (VALUES ('documents', 'documents.parquet'), ('nation', 'nation.parquet'), ('absent', NULL)) AS t(name, file)"),
+    "pool_sinks": (pool_sinks, _POOLS_SQL),
+    "last_by_key": (last_by_key, "SELECT conv_id, max(turn) AS turn, arg_max(role, turn) AS role FROM conversations GROUP BY conv_id"),
+    "selected_tables": (selected_tables, f"SELECT question_id, tab, CAST(rk AS BIGINT) AS rk FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, tab) AS rk FROM ({_TABLE_SQL}) WHERE score >= 1) WHERE rk <= 4"),
+    "ddl_layout": (ddl_layout, _LAYOUT_SQL),
+    "schema_ids": (schema_ids, _IDS_SQL),
+    "capped_features": (capped_features, _CAPPED_SQL),
 }

@@ -45,9 +45,25 @@ def samples(rows: DataFrame, category: str, order: str, k: int = 50) -> DataFram
     return rows.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k).drop("rk")
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder below the session's shared one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    return f"{root.rstrip('/')}/siftmill/jsonl-{uuid.uuid4().hex}"
+
+
 def round_trip(spark: SparkSession, rows: DataFrame, schema: str) -> DataFrame:
     """Written and read again, below the session's shared folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    path = f"{root.rstrip('/')}/siftmill/jsonl-{uuid.uuid4().hex}"
+    path = _folder(spark)
     write(rows, path)
     return read(spark, path, schema).drop(BAD)
+
+
+def pools_round_trip(spark: SparkSession, rows: DataFrame, schema: str) -> DataFrame:
+    """Written as pools and read again, with the ``folder`` that each row came from."""
+    path = _folder(spark)
+    write_pools(rows, path)
+    out = None
+    for name in ("internal", "clean", "rejected"):
+        one = read(spark, f"{path}/{name}", schema).drop(BAD).withColumn("folder", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
