@@ -34,6 +34,8 @@ COORDINATES = 128
 #: Sketches that agree on less than threshold - SLACK are no candidates: more than four standard errors at 128 coordinates.
 SLACK = 0.13
 SMALL, BLOCK = 64, 256
+#: Bytes of sets that a block of a large node holds, if blocks of ``BLOCK`` rows are not larger already.
+BLOCK_BYTES = 16 << 20
 #: Times that the rows of a large node are dealt to blocks before blocks of different components are compared.
 DEALS = 2
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -338,8 +340,9 @@ class ChosenPathJoin:
         A node needs no look if leaders have joined it, or if it is small and none of its rows was set aside for
         a leader.  Rows of large nodes are dealt to blocks by changing hashes ``DEALS`` times and compared there,
         which joins a group of near copies at the cost of a few rows each.  What is still apart afterwards is cut
-        into blocks of one component each, the small ones together, and only blocks of different components meet:
-        a component of n rows and k others make about n + k * n / BLOCK rows.
+        into blocks of one component each, the small ones together, and only blocks of different components meet.
+        A block grows with the root of its node's size, so n rows that are all apart make about n * sqrt(n / BLOCK)
+        rows and not n * n / BLOCK; a component of n rows and k others make about n + k * n / block.
         """
         path = f"{self.base}/crossing"
         touched = led.select(F.col("node").alias("at")).distinct()
@@ -360,7 +363,7 @@ class ChosenPathJoin:
                 break
             joined = connected_components(self.spark, links[-1], "c", "d").select(F.col("id").alias("of"), F.col("component_id").alias("now"))
             rows = self._apart(rows.join(joined.hint("merge"), F.col("comp") == F.col("of"), "left").select("node", "size", "id", F.coalesce("now", "comp").alias("comp")), f"{path}-rows{k}")
-        links.append(self._compared(self._cut(rows, path), full, f"{path}-cut"))
+        links.append(self._compared(self._cut(rows, full, path), full, f"{path}-cut"))
         shared.delete(self.spark, f"{path}-sets")
         out = links[0]
         for more in links[1:]:
@@ -376,17 +379,24 @@ class ChosenPathJoin:
         shared.delete(self.spark, f"{path}-labelled")
         return rows
 
-    def _cut(self, rows: DataFrame, path: str) -> DataFrame:
+    def _cut(self, rows: DataFrame, full: DataFrame, path: str) -> DataFrame:
         """(node, i, j, side, id, comp): every row once for each block that its block is compared with."""
         zero = F.lit(0).cast("long")
         small = rows.where(F.col("size") <= SMALL).select("node", zero.alias("i"), zero.alias("j"), zero.alias("side"), "id", "comp")
         large = rows.where(F.col("size") > SMALL)
         if not large.limit(1).count():
             return small
+        weights = full.select(F.col("id").alias("of"), F.length("found").alias("bytes"))
+        counted = large.join(weights.hint("merge"), F.col("id") == F.col("of")).groupBy("node", "comp").agg(F.count("*").alias("c"), F.sum("bytes").alias("bytes"))
+        counted = shared.saved(counted, f"{path}-counted")
+        # Few large blocks make few copies of a row: a block has the root of its node's size, as far as its sets' bytes allow.
+        fits = F.floor(F.lit(BLOCK_BYTES) * F.sum("c") / F.sum("bytes"))
+        block = F.greatest(F.lit(BLOCK), F.least(BLOCK * F.ceil(F.sqrt(F.sum("c") / BLOCK)), fits)).cast("long")
+        blocks = counted.groupBy("node").agg(block.alias("block")).select(F.col("node").alias("bn"), "block")
         # A unit is a component of a block's size or more, or all the smaller ones of a node: unit 0.
-        parts = large.groupBy("node", "comp").agg(F.count("*").alias("c")).withColumn("u", F.when(F.col("c") >= BLOCK, F.xxhash64("comp")).otherwise(0))
+        parts = counted.join(blocks.hint("merge"), F.col("node") == F.col("bn")).select("node", "comp", "c", "block", F.when(F.col("c") >= F.col("block"), F.xxhash64("comp")).otherwise(0).alias("u"))
         parts = shared.saved(parts, f"{path}-parts")
-        units = shared.saved(parts.groupBy("node", "u").agg(F.ceil(F.sum("c") / BLOCK).cast("long").alias("blocks")), f"{path}-units")
+        units = shared.saved(parts.groupBy("node", "u").agg(F.ceil(F.sum("c") / F.first("block")).cast("long").alias("blocks")), f"{path}-units")
         mine = units.select("node", "u", F.col("blocks").alias("own"))
         other = units.select(F.col("node").alias("at"), F.col("u").alias("v"), F.col("blocks").alias("theirs"))
         meets = mine.join(other.hint("merge"), (F.col("node") == F.col("at")) & ((F.col("u") != F.col("v")) | (F.col("u") == 0)))
@@ -400,9 +410,13 @@ class ChosenPathJoin:
         return small.unionByName(cut)
 
     def _compared(self, cut: DataFrame, full: DataFrame, path: str) -> DataFrame:
-        """Links (a, b) found in blocks, with the components (c, d) that they join."""
+        """Links (a, b) found in blocks, with the components (c, d) that they join.
+
+        Sketches and sets are joined to an id once, with all its places in blocks, and go to these places afterwards.
+        """
         threshold, pct = self.threshold, self.pct
-        whole = self._with_short(cut).join(full.hint("merge"), "id").select("node", "i", "j", "side", "id", "comp", "n", "short", "found")
+        places = cut.groupBy("id").agg(F.collect_list(F.struct("node", "i", "j", "side", "comp")).alias("places"))
+        whole = self._with_short(places).join(full.hint("merge"), "id").withColumn("place", F.explode("places")).select("place.node", "place.i", "place.j", "place.side", "id", "place.comp", "n", "short", "found")
         links = whole.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j", "id").transform(shared.in_arrow, lambda b: _crossed(b, threshold, pct), "a long, b long, c long, d long")
         return shared.saved(links.distinct(), path)
 

@@ -1,6 +1,7 @@
 """Chosen-path join and components against brute force."""
 
 import random
+import re
 
 import pytest
 
@@ -134,3 +135,50 @@ def test_recall_at_the_threshold(spark, docs):
     found = sum(got[2 * k + 1] == 2 * k for k in range(400)) / 400
     print("recall at the threshold", found)
     assert found >= 0.9
+
+
+def _joined(spark, since):
+    """Rows that inner joins by id made, by Spark's own count, in the executions from number ``since`` on; and the next number."""
+    store, made, last = spark._jsparkSession.sharedState().statusStore(), 0, since
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    found = store.executionsList()
+    for k in range(found.size()):
+        e = found.apply(k).executionId()
+        last = max(last, e + 1)
+        if e < since:
+            continue
+        nodes, metrics = store.planGraph(e).allNodes(), store.executionMetrics(e)
+        for node in (nodes.apply(x) for x in range(nodes.size())):
+            if node.name() == "SortMergeJoin" and re.search(r"\[id#\d+L?\], \[id#\d+L?\], Inner", node.desc()):
+                own = (node.metrics().apply(x) for x in range(node.metrics().size()))
+                made += sum(int(metrics.get(m.accumulatorId()).get().replace(",", "")) for m in own if m.name() == "number of output rows" and metrics.contains(m.accumulatorId()))
+    return made, last
+
+
+def test_rows_apart_in_large_nodes_are_not_copied_for_every_block(spark, docs, monkeypatch):
+    """n rows of a group that are all below the threshold: joins by id grow with n, copies for blocks with its 1.5th power, and no link is lost."""
+    from siftmill.llm import chosen_path
+
+    monkeypatch.setattr(chosen_path, "SMALL", 8)
+    monkeypatch.setattr(chosen_path, "BLOCK", 8)
+    cut, was = [], ChosenPathJoin._cut
+
+    def counted(self, *args):
+        out = was(self, *args)
+        cut.append(out.count())
+        return out
+
+    monkeypatch.setattr(ChosenPathJoin, "_cut", counted)
+    joins, since = [], 0
+    for n in (600, 1200):
+        rng = random.Random(9)
+        base = [f"b{rng.randrange(9000)}" for _ in range(200)]
+        rows = [(k, edited(rng, base, 4)) for k in range(n)]
+        since = _joined(spark, since)[1]
+        got = {r.doc_id: r.component_id for r in near_dedup(spark, docs([(i, t, "s") for i, t in rows]), threshold_pct=85, trees=3).collect()}
+        joins.append(_joined(spark, since)[0])
+        if n == 600:
+            assert got == {i: c for i, (_, c) in brute(rows, 85).items()}
+    print("rows of blocks", cut, "rows joined by id", joins)
+    assert cut[0] and cut[1] <= 3.2 * cut[0]
+    assert joins[0] and joins[1] <= 2.4 * joins[0]
