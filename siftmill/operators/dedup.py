@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import difflib
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,56 +31,6 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf(T.DoubleType())
-def cross_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """``sequence_ratio`` where it is ``CROSS`` at least, else 0; upper bounds are tried first."""
-
-    def one(x: str, y: str) -> float:
-        m = difflib.SequenceMatcher(None, x, y)
-        return m.ratio() if m.real_quick_ratio() >= CROSS and m.quick_ratio() >= CROSS else 0.0
-
-    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
-
-
-#: Least similarity across pools.
-CROSS = 0.8
-#: Rough shares of letters in per mille; what is not listed is rare. They set the order of keys, not what is found.
-_SHARES = dict(zip(" etaoinsrhldcumfpgwybvk", (170, 105, 76, 68, 63, 58, 58, 52, 50, 50, 33, 35, 23, 23, 20, 18, 16, 16, 19, 16, 12, 8, 6)))
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def cross_keys(texts: pd.Series) -> pd.Series:
-    """Keys of which two texts of ratio ``CROSS`` at least share one.
-
-    A text is the set of its characters with their counts up to each, (c, k).  At ratio 2M / (a + b) >= 0.8 two
-    texts of lengths a and b share M >= 0.4 (a + b) of these, and M <= b gives b >= 2a / 3, so M >= 2a / 3.  Of two
-    sets that share so many, the first a - ceil(2a / 3) + 1 in any common order meet.  Empty texts meet each other.
-    """
-
-    def one(text: str) -> list[str]:
-        seen: Counter = Counter()
-        found = []
-        for c in text:
-            seen[c] += 1
-            found.append((-seen[c] / _SHARES.get(c, 1), c, seen[c]))
-        return [f"{c}{k}" for _, c, k in sorted(found)[: len(found) - -(-2 * len(found) // 3) + 1]] or [""]
-
-    return texts.map(one)
-
-
-def cross_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(a, b, ratio): all pairs of a row (id, t) of either side of ratio ``CROSS`` at least; equal texts are compared once."""
-    sides = []
-    for rows, name in ((left, "a"), (right, "b")):
-        texts = rows.select("t").distinct().select(F.col("t").alias(f"{name}_t"))
-        sides.append(texts.withColumn(f"{name}_n", F.length(f"{name}_t")).withColumn("key", F.explode(cross_keys(f"{name}_t"))))
-    # Integers: b >= 2a / 3 and a >= 2b / 3.
-    near = (3 * F.col("b_n") >= 2 * F.col("a_n")) & (3 * F.col("a_n") >= 2 * F.col("b_n"))
-    met = sides[0].join(sides[1], "key").where(near).select("a_t", "b_t").distinct()
-    alike = met.withColumn("ratio", cross_ratio("a_t", "b_t")).where(F.col("ratio") >= CROSS)
-    return alike.join(left.select(F.col("id").alias("a"), F.col("t").alias("a_t")), "a_t").join(right.select(F.col("id").alias("b"), F.col("t").alias("b_t")), "b_t").select("a", "b", "ratio")
-
-
 def may_be_similar(len_a: Column, len_b: Column, tokens_a: Column, tokens_b: Column, gap: float = 0.65, overlap: float = 0.10) -> Column:
     """Cheap tests before the ratio: relative length gap, then token overlap."""
     from ..functions.text import jaccard
