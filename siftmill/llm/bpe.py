@@ -12,7 +12,10 @@ from __future__ import annotations
 
 import heapq
 import json
+import os
+import struct
 import unicodedata
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-#: Chunks that a worker remembers; when full it starts anew, so memory is bounded.
+#: Chunks that a worker remembers, so memory is bounded: when half of them are new, those not met meanwhile go.
 REMEMBERED = 120_000
 #: Bytes of a batch handed back to Spark.
 BATCH_BYTES = 16 << 20
@@ -35,6 +38,29 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+#: The end of a word pattern whose other kinds of words have no letter at their start.
+LETTERS = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
+
+
+class Remembered(dict):
+    """Ids by bytes, made where they are missing; long keys are not kept."""
+
+    def __init__(self, make: Callable[[bytes], bytes]):
+        super().__init__()
+        self.make, self.before = make, {}
+
+    def __missing__(self, key: bytes) -> bytes:
+        ids = self.before.pop(key, None)
+        if ids is None:
+            ids = self.make(key)
+        if len(key) < 64:
+            if len(self) >= REMEMBERED // 2:
+                self.before = dict(self)
+                self.clear()
+            self[key] = ids
+        return ids
+
+
 class Bpe:
     """Encoder and decoder for one tokenizer file of this kind."""
 
@@ -53,75 +79,80 @@ class Bpe:
             self.strings[token["id"]] = token["content"]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.at_added = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
-        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
+        #: By the first id of a pair, the rank of each second one; and the id that a rank makes.
+        self.ranks: list[dict[int, int]] = [{}] * len(self.strings)
+        self.made: list[int] = []
         for rank, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in model["merges"]):
-            self.pairs[vocab[a], vocab[b]] = (rank, vocab[a + b])
+            self.ranks[vocab[a]] = self.ranks[vocab[a]] or {}
+            self.ranks[vocab[a]][vocab[b]] = rank
+            self.made.append(vocab[a + b])
         words = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
         self.words = regex.compile(words.replace(r"[^\s", r"[^\p{White_Space}"))
         symbols = byte_symbols()
         self.inner = [vocab[s] for s in symbols]
         self.last = [vocab[s + self.suffix] for s in symbols]
-        self.final: dict[bytes, bytes] = {}
-        self.known: dict[str, bytes] = {}
+        #: How all added tokens begin.
+        self.sign = os.path.commonprefix([*self.added]).encode()
+        #: Whether a chunk of ASCII letters is one word and no added token.
+        self.whole = words.endswith(LETTERS) and not any(t.encode().isalpha() for t in self.added)
+        self.final, self.known = Remembered(self.chunk), Remembered(self.word)
         self.utf8 = [s.encode() for s in self.strings]
 
     def merged(self, word: bytes) -> list[int]:
         """Ids of one word: its symbols, merged by rank and then from the left."""
-        ids = [self.inner[b] for b in word]
+        ids = [*map(self.inner.__getitem__, word)]
         ids[-1] = self.last[word[-1]]
-        n, pairs = len(ids), self.pairs
+        n, ranks, made = len(ids), self.ranks, self.made
+        ranked = [ranks[a].get(b, -1) for a, b in zip(ids, ids[1:])]  # of the pair that begins at a symbol; -1: none
+        queue = [r * n + i for i, r in enumerate(ranked) if r >= 0]
+        ranked.append(-1)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = [(m[0], i) for i in range(n - 1) if (m := pairs.get((ids[i], ids[i + 1])))]
         heapq.heapify(queue)
         while queue:
-            rank, i = heapq.heappop(queue)
-            j = after[i] if ids[i] >= 0 else n
-            if j >= n or (m := pairs.get((ids[i], ids[j]))) is None or m[0] != rank:
+            rank, i = divmod(heapq.heappop(queue), n)
+            if ranked[i] != rank:
                 continue  # stale: one of the two symbols has been merged meanwhile
-            ids[i], ids[j] = m[1], -1
+            j = after[i]
+            ids[i] = new = made[rank]
+            ids[j] = ranked[i] = ranked[j] = -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if new := pairs.get((ids[i], ids[k])):
-                    heapq.heappush(queue, (new[0], i))
-            if (h := before[i]) >= 0 and (new := pairs.get((ids[h], ids[i]))):
-                heapq.heappush(queue, (new[0], h))
+                if (r := ranks[new].get(ids[k], -1)) >= 0:
+                    ranked[i] = r
+                    heapq.heappush(queue, r * n + i)
+            if (h := before[i]) >= 0:
+                ranked[h] = r = ranks[ids[h]].get(new, -1)
+                if r >= 0:
+                    heapq.heappush(queue, r * n + h)
         return [x for x in ids if x >= 0]
 
+    def word(self, word: bytes) -> bytes:
+        """Packed ids of one word."""
+        ids = self.merged(word)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _plain(self, text: str) -> bytes:
-        out = []
-        for word in self.words.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()):
-            if (ids := self.known.get(word)) is None:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                ids = self.known[word] = np.array(self.merged(word.encode()), "<u4").tobytes()
-            out.append(ids)
-        return b"".join(out)
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        return b"".join([self.known[word.encode()] for word in self.words.findall(text.lower())])
 
     def chunk(self, chunk: bytes) -> bytes:
         """Packed ids of text without ASCII white space."""
+        if self.whole and chunk.isalpha():
+            return self.known[chunk.lower()]
         text = chunk.decode()
-        if self.at_added is None or not (found := [*self.at_added.finditer(text)]):
+        if self.at_added is None or self.sign not in chunk or self.at_added.search(text) is None:
             return self._plain(text)
         out, at = [], 0
-        for m in found:
+        for m in self.at_added.finditer(text):
             out += [self._plain(text[at : m.start()]), np.array([self.added[m[0]]], "<u4").tobytes()]
             at = m.end()
         return b"".join([*out, self._plain(text[at:])])
 
     def encode(self, text: bytes) -> bytes:
         """Ids of a UTF-8 text, packed as little-endian unsigned 32-bit integers."""
-        final, out = self.final, []
-        for chunk in text.split():
-            ids = final.get(chunk)
-            if ids is None:
-                if len(final) >= REMEMBERED:
-                    final.clear()
-                ids = self.chunk(chunk)
-                if len(chunk) < 64:
-                    final[chunk] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.final.__getitem__, text.split()))
 
     def decode(self, packed: bytes) -> bytes:
         """The vocabulary strings of packed ids, joined as the file's decoder says (none: by spaces), in UTF-8."""
