@@ -455,19 +455,49 @@ def _add(held: dict[str, list], host: str, tree: list) -> None:
     held[host] = merged(held[host], tree) if host in held else tree
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper as JSON) for every host, from all its pages."""
+def counted(pages: DataFrame) -> DataFrame:
+    """What both tables below are made of, from one parse of each page: (host, wrapper as JSON), or (host, path, key, n, marks) of blocks.
+
+    A task merges the wrappers and adds the counts of its pages; a key is null where the path's pages are counted.
+    """
+
+    def count(batches):
+        trees: dict[str, list] = {}
+        blocks: dict[tuple, list[int]] = {}
+
+        def out():
+            host, path, key = zip(*blocks) if blocks else ((), (), ())
+            n, marks = zip(*blocks.values()) if blocks else ((), ())
+            none = len(trees)
+            columns = [
+                pa.array([*trees, *host], pa.string()), pa.array([*(json.dumps(w, separators=(",", ":")) for w in trees.values()), *[None] * len(host)], pa.string()),
+                *(pa.array([*[None] * none, *c], pa.uint64()).view(pa.int64()) for c in (path, key)), *(pa.array([*[None] * none, *c], pa.int64()) for c in (n, marks)),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=["host", "wrapper", "path", "key", "n", "marks"])
 
-    def induce(batches):
-        held: dict[str, list] = {}
         for batch in batches:
             for url, source in zip(batch.column(0).to_pylist(), shared.utf8_rows(batch.column(1))):
                 if len(source):
-                    _add(held, host_of(url), tree_of(parse(str(source, "utf-8"))))
-                if len(held) >= HELD:
-                    yield _merge_rows(held)
-                    held = {}
-        yield _merge_rows(held)
+                    host, root = host_of(url), parse(str(source, "utf-8"))
+                    body, mark = body_of(root), article_mark(root)
+                    tree = page_tree([body], mark)
+                    tree[LABEL] = "body"
+                    _add(trees, host, tree)
+                    found = block_keys(body)
+                    for path, key in {(path, key) for _, path, key in found} | {(path, None) for _, path, _ in found}:
+                        seen = blocks.setdefault((host, path, key), [0, 0])
+                        seen[0] += 1
+                        seen[1] |= mark
+                if len(blocks) >= FLUSH or len(trees) >= HELD:
+                    yield out()
+                    trees, blocks = {}, {}
+        yield out()
+
+    return pages.select("url", "html").transform(shared.in_arrow, count, "host string, wrapper string, path long, key long, n long, marks long")
+
+
+def wrappers(parts: DataFrame) -> DataFrame:
+    """(host, wrapper as JSON) for every host, from all its pages."""
 
     def merge(batches):
         held: dict[str, list] = {}
@@ -479,7 +509,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
                 _add(held, host, json.loads(w))
         yield _merge_rows(held)
 
-    part = pages.select("url", "html").transform(shared.in_arrow, induce, "host string, wrapper string").withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(16)))
+    part = parts.where("wrapper is not null").select("host", "wrapper").withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(16)))
     for keys in (["host", "salt"], ["host"]):
         part = part.repartition(*keys).sortWithinPartitions("host", "wrapper").select("host", "wrapper").transform(shared.in_arrow, merge, "host string, wrapper string")
         if keys != ["host"]:
@@ -487,34 +517,10 @@ def wrappers(pages: DataFrame) -> DataFrame:
     return part
 
 
-def constant_blocks(pages: DataFrame) -> DataFrame:
+def constant_blocks(parts: DataFrame) -> DataFrame:
     """(host, fixed): keys of the blocks that are constant among the host's pages with their path."""
-
-    def count(batches):
-        held: dict[tuple, list[int]] = {}
-
-        def out():
-            host, path, key = zip(*held) if held else ((), (), ())
-            n, marks = zip(*held.values()) if held else ((), ())
-            columns = [pa.array(host, pa.string()), *(pa.array(c, pa.uint64()).view(pa.int64()) for c in (path, key)), pa.array(n, pa.int64()), pa.array(marks, pa.int64())]
-            return pa.RecordBatch.from_arrays(columns, names=["host", "path", "key", "n", "marks"])
-
-        for batch in batches:
-            for url, source in zip(batch.column(0).to_pylist(), shared.utf8_rows(batch.column(1))):
-                if len(source):
-                    host, root = host_of(url), parse(str(source, "utf-8"))
-                    found, mark = block_keys(body_of(root)), article_mark(root)
-                    for path, key in {(path, key) for _, path, key in found} | {(path, None) for _, path, _ in found}:
-                        seen = held.setdefault((host, path, key), [0, 0])
-                        seen[0] += 1
-                        seen[1] |= mark
-                if len(held) >= FLUSH:
-                    yield out()
-                    held.clear()
-        yield out()
-
-    counts = pages.select("url", "html").transform(shared.in_arrow, count, "host string, path long, key long, n long, marks long").groupBy("host", "path", "key").agg(F.sum("n").alias("n"), F.bit_count(F.bit_or("marks")).alias("articles"))
-    base = shared.work_dir(pages.sparkSession, "html_blocks")
+    counts = parts.where("wrapper is null").groupBy("host", "path", "key").agg(F.sum("n").alias("n"), F.bit_count(F.bit_or("marks")).alias("articles"))
+    base = shared.work_dir(parts.sparkSession, "html_blocks")
     counts = shared.saved(counts.where(F.col("n") >= LEAST), base)
     whole = counts.where("key is null").select("host", "path", F.col("n").alias("pages"), F.col("articles").alias("of"))
     common = counts.where("key is not null").join(whole, ["host", "path"]).where(f"n >= {SHARE} * pages and articles >= {LEAST} and articles >= {SHARE} * of")
@@ -525,7 +531,8 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """page_id, url, text for every page."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     path = shared.work_dir(spark, "html_wrappers")
-    table = shared.saved(wrappers(pages).join(constant_blocks(pages), "host", "left"), path)
+    parts = shared.saved(counted(pages), shared.work_dir(spark, "html_parts"))
+    table = shared.saved(wrappers(parts).join(constant_blocks(parts), "host", "left"), path)
     schema = "page_id long, url string, text string"
 
     def known_of(wrapper, fixed):
