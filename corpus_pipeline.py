@@ -53,8 +53,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, ids (packed) and decoded_chars, the length of the decoded text."""
-    out = bpe.encode(docs, bpe.default_tokenizer(), decoded=True, keep=("source",))
-    return out.select("doc_id", "source", "n_tokens", "ids", F.length("decoded").cast("long").alias("decoded_chars"))
+    return bpe.encode(docs, bpe.default_tokenizer(), keep=("source",), chars=True)
 
 
 STAGES = [

@@ -10,12 +10,13 @@ tokens inside a text become those tokens, as the library does by default.
 
 from __future__ import annotations
 
-import heapq
 import json
 import os
+import string
 import struct
 import unicodedata
 from collections.abc import Callable
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +27,9 @@ from pyspark.sql import functions as F
 from . import shared
 
 #: Chunks that a worker remembers, so memory is bounded: when half of them are new, those not met meanwhile go.
-REMEMBERED = 120_000
-#: Bytes of a batch handed back to Spark.
-BATCH_BYTES = 16 << 20
+REMEMBERED = 240_000
+#: Bytes of a batch handed back to Spark; both sides hold it a few times over.
+BATCH_BYTES = 4 << 20
 
 
 def byte_symbols() -> list[str]:
@@ -39,7 +40,10 @@ def byte_symbols() -> list[str]:
 
 
 #: The end of a word pattern whose other kinds of words have no letter at their start.
+#: So a word of letters with signs behind it is two words.
 LETTERS = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
+#: ASCII that is neither letter, number nor white space, nor control.
+SIGNS = string.punctuation
 
 
 class Remembered(dict):
@@ -79,13 +83,14 @@ class Bpe:
             self.strings[token["id"]] = token["content"]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.at_added = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
-        #: By the first id of a pair, the rank of each second one; and the id that a rank makes.
-        self.ranks: list[dict[int, int]] = [{}] * len(self.strings)
+        ranks: list[dict[int, int]] = [{}] * len(self.strings)
+        #: The id that a rank makes; by the first id of a pair, what gives the rank of a second one.
         self.made: list[int] = []
         for rank, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in model["merges"]):
-            self.ranks[vocab[a]] = self.ranks[vocab[a]] or {}
-            self.ranks[vocab[a]][vocab[b]] = rank
+            ranks[vocab[a]] = ranks[vocab[a]] or {}
+            ranks[vocab[a]][vocab[b]] = rank
             self.made.append(vocab[a + b])
+        self.rank = [r.get for r in ranks]
         words = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
         self.words = regex.compile(words.replace(r"[^\s", r"[^\p{White_Space}"))
         symbols = byte_symbols()
@@ -93,8 +98,9 @@ class Bpe:
         self.last = [vocab[s + self.suffix] for s in symbols]
         #: How all added tokens begin.
         self.sign = os.path.commonprefix([*self.added]).encode()
-        #: Whether a chunk of ASCII letters is one word and no added token.
+        #: Whether letters are one word, and signs behind them another; and no added token is all ASCII letters.
         self.whole = words.endswith(LETTERS) and not any(t.encode().isalpha() for t in self.added)
+        #: Chunks, words of letters and signs behind them are remembered together, other words apart.
         self.final, self.known = Remembered(self.chunk), Remembered(self.word)
         self.utf8 = [s.encode() for s in self.strings]
 
@@ -102,29 +108,33 @@ class Bpe:
         """Ids of one word: its symbols, merged by rank and then from the left."""
         ids = [*map(self.inner.__getitem__, word)]
         ids[-1] = self.last[word[-1]]
-        n, ranks, made = len(ids), self.ranks, self.made
-        ranked = [ranks[a].get(b, -1) for a, b in zip(ids, ids[1:])]  # of the pair that begins at a symbol; -1: none
-        queue = [r * n + i for i, r in enumerate(ranked) if r >= 0]
+        n, rank, made = len(ids), self.rank, self.made
+        ranked = [rank[a](b, -1) for a, b in zip(ids, ids[1:])]  # of the pair that begins at a symbol; -1: none
         ranked.append(-1)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heapq.heapify(queue)
+        bits = n.bit_length()  # of a symbol's place, below its rank in the queue
+        queue = [r << bits | i for i, r in enumerate(ranked) if r >= 0]
+        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
+        heapify(queue)
         while queue:
-            rank, i = divmod(heapq.heappop(queue), n)
-            if ranked[i] != rank:
+            r = (key := heappop(queue)) >> bits
+            i = key - (r << bits)
+            if ranked[i] != r:
                 continue  # stale: one of the two symbols has been merged meanwhile
             j = after[i]
-            ids[i] = new = made[rank]
-            ids[j] = ranked[i] = ranked[j] = -1
+            ids[i] = new = made[r]
+            ids[j] = ranked[j] = -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (r := ranks[new].get(ids[k], -1)) >= 0:
-                    ranked[i] = r
-                    heapq.heappush(queue, r * n + i)
+                ranked[i] = r = rank[new](ids[k], -1)
+                if r >= 0:
+                    heappush(queue, r << bits | i)
+            else:
+                ranked[i] = -1
             if (h := before[i]) >= 0:
-                ranked[h] = r = ranks[ids[h]].get(new, -1)
+                ranked[h] = r = rank[ids[h]](new, -1)
                 if r >= 0:
-                    heapq.heappush(queue, r * n + h)
+                    heappush(queue, r << bits | h)
         return [x for x in ids if x >= 0]
 
     def word(self, word: bytes) -> bytes:
@@ -139,9 +149,18 @@ class Bpe:
 
     def chunk(self, chunk: bytes) -> bytes:
         """Packed ids of text without ASCII white space."""
-        if self.whole and chunk.isalpha():
-            return self.known[chunk.lower()]
+        if self.whole and (head := chunk.rstrip(SIGNS.encode())).isalpha():
+            if chunk.islower() and head == chunk:
+                return self.word(chunk)
+            if head == chunk or self.sign not in chunk:
+                return self.final[head.lower()] + (self.final[chunk[len(head) :]] if head != chunk else b"")
         text = chunk.decode()
+        if self.whole and self.sign not in chunk and (head := text.rstrip(SIGNS)).isalpha():
+            low = unicodedata.normalize("NFC", head).replace("Σ", "σ").lower()
+            if low == text:
+                return self.word(chunk)
+            if low.isalpha() and unicodedata.normalize("NFC", low).lower() == low:  # so as a chunk it is this word
+                return self.final[low.encode()] + (self.final[text[len(head) :].encode()] if head != text else b"")
         if self.at_added is None or self.sign not in chunk or self.at_added.search(text) is None:
             return self._plain(text)
         out, at = [], 0
@@ -168,13 +187,13 @@ def loaded(path: str) -> Bpe:
     return _LOADED[path]
 
 
-def encode(docs: DataFrame, tokenizer: str, decoded: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id (and the columns of ``keep``), n_tokens, ids (binary: packed little-endian unsigned 32-bit), and ``decoded`` if asked.
+def encode(docs: DataFrame, tokenizer: str, decoded: bool = False, keep: tuple[str, ...] = (), chars: bool = False) -> DataFrame:
+    """doc_id (and the columns of ``keep``), n_tokens, ids (binary: packed little-endian unsigned 32-bit), and if asked ``decoded`` and ``decoded_chars``.
 
-    ``tokenizer`` is a path that every worker has.
+    ``tokenizer`` is a path that every worker has.  ``decoded_chars`` is the length of the decoded text, which then need not leave the worker.
     """
     kept = [f.name for f in docs.select(*keep).schema]
-    schema = ", ".join(["doc_id long", *(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in kept), "n_tokens long", "ids binary"] + ["decoded string"] * decoded)
+    schema = ", ".join(["doc_id long", *(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in kept), "n_tokens long", "ids binary"] + ["decoded string"] * decoded + ["decoded_chars long"] * chars)
 
     def run(batches):
         bpe = loaded(tokenizer)
@@ -187,11 +206,14 @@ def encode(docs: DataFrame, tokenizer: str, decoded: bool = False, keep: tuple[s
                 columns += [pa.array([len(x) // 4 for x in packed], pa.int64()), pa.array(packed, pa.binary())]
                 if decoded:
                     columns.append(pa.array([x[1] for x in out], pa.binary()).cast(pa.string()))
-                return pa.RecordBatch.from_arrays(columns, names=["doc_id", *kept, "n_tokens", "ids"] + ["decoded"] * decoded)
+                if chars:
+                    columns.append(pa.array([x[2] for x in out], pa.int64()))
+                return pa.RecordBatch.from_arrays(columns, names=["doc_id", *kept, "n_tokens", "ids"] + ["decoded"] * decoded + ["decoded_chars"] * chars)
 
             for i, text in enumerate(shared.utf8_rows(batch.column(batch.num_columns - 1))):
                 ids = bpe.encode(bytes(text))
-                out.append((ids, bpe.decode(ids) if decoded else b""))
+                back = bpe.decode(ids) if decoded or chars else b""
+                out.append((ids, back if decoded else b"", len(back.decode()) if chars else 0))
                 size += len(ids) + len(out[-1][1])
                 if size >= BATCH_BYTES:
                     yield taken(i + 1)
