@@ -8,6 +8,8 @@ which one row stays.  Every stage but the last returns the columns of its input.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,12 +58,23 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, bpe.default_tokenizer(), keep=("source",), chars=True)
 
 
+def _fresh(stage):
+    """The stage, begun when executors have given back what the one before took: else heaps only grow, and workers come on top."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        shared.shrink(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("exact_dedup", drop_copies),
-    ("near_dedup", drop_near_copies),
-    ("mixing", mix_sources),
-    ("bpe", tokenize),
+    ("toxicity", _fresh(drop_toxic)),
+    ("exact_dedup", _fresh(drop_copies)),
+    ("near_dedup", _fresh(drop_near_copies)),
+    ("mixing", _fresh(mix_sources)),
+    ("bpe", _fresh(tokenize)),
 ]
 
 #: Neither the tagger's scores nor the tokens can be had from SQL; tests compare the stages with brute force.

@@ -61,3 +61,15 @@ def test_batches_of_long_texts_are_small(docs, monkeypatch):
     monkeypatch.setattr(bpe.shared, "in_arrow", seen)
     bpe.encode(docs(["a"]), bpe.default_tokenizer(), decoded=True)
     assert sum(sizes) > 16 << 20 and max(sizes) < 6 << 20
+
+
+def test_each_stage_begins_with_free_heaps(docs):
+    rows = docs(["some words", "other words"])
+    spark = rows.sparkSession
+    beans = lambda: spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans() if not any(x in b.getName() for x in ("Young", "Copy", "Scavenge")))
+    for name in ("mixing", "bpe"):
+        before = full()
+        dict(corpus_pipeline.STAGES)[name](spark, rows, "")
+        assert full() > before
+    assert all(hasattr(stage, "__wrapped__") for _, stage in corpus_pipeline.STAGES)
